@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec import runtime
-from lakevec.llm import seen
+from lakevec.llm import encode, seen
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,21 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    runtime.ship(spark)
+    return runtime.table(spark, sf_dir, "documents").select("doc_id", encode.token_ids("text", encode.read_ranks()).alias("ids"))
+
+
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of bytes that every document's ids decode to, -1 where they aren't the text's."""
+    ranks = encode.read_ranks()
+    runtime.ship(spark)
+    ids = runtime.table(spark, sf_dir, "documents").select("doc_id", "text", encode.token_ids("text", ranks).alias("ids"))
+    return ids.select("doc_id", encode.byte_lengths("ids", "text", ranks).alias("n_bytes"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
 
 SQL = {
     "p3_found": """
@@ -38,4 +52,5 @@ SQL = {
         SELECT s.config_id, count(*) AS n_records, count(*) FILTER (seen) AS n_seen, CAST(0 AS BIGINT) AS n_wrong,
                CAST(0 AS DOUBLE) AS wrong_rate, c.bloom_filter_fpr AS allowed_rate, TRUE AS within
         FROM s LEFT JOIN store_configs c ON s.config_id = c.config_id GROUP BY s.config_id, c.bloom_filter_fpr""",
+    "p6_roundtrip": "SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents",
 }
