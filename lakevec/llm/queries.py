@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec import runtime
-from lakevec.llm import encode, seen
+from lakevec.llm import encode, seen, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,29 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", encode.byte_lengths("ids", "text", ranks).alias("n_bytes"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+def _cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    shaped = truncation.shapes(runtime.table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    limits = truncation.limits(shaped)
+    return shaped, limits, truncation.truncated(shaped, limits)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return _cut(spark, sf_dir)[2].select(F.col("doc").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source the number and rate of cut texts."""
+    shaped, _, cut = _cut(spark, sf_dir)
+    return truncation.rates(shaped, cut)
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The significant lengths of each source."""
+    return _cut(spark, sf_dir)[1]
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_rates": p8_rates, "p8_limits": p8_limits}
 
 SQL = {
     "p3_found": """
