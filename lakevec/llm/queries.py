@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec import runtime
-from lakevec.llm import encode, seen, truncation
+from lakevec.llm import encode, mixture, seen, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,22 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", encode.byte_lengths("ids", "text", ranks).alias("n_bytes"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    runtime.ship(spark)
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "source", encode.token_counts("text", encode.read_ranks()).alias("n_tokens"))
+    return mixture.mix(docs, "doc_id", "source", "n_tokens", runtime.table(spark, sf_dir, "source_weights"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document occurs in the mixture."""
+    return _mixed(spark, sf_dir)[0].select(F.col("doc").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of tokens that the sources have in the mixture, beside their targets."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def _cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     shaped = truncation.shapes(runtime.table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     limits = truncation.limits(shaped)
@@ -60,7 +76,7 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir)[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p8_found": p8_found, "p8_rates": p8_rates, "p8_limits": p8_limits}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates, "p8_limits": p8_limits}
 
 SQL = {
     "p3_found": """
