@@ -6,7 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec import runtime
-from lakevec.llm import encode, mixture, seen, truncation
+from lakevec.llm import clusters, encode, mixture, seen, truncation
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, clusters.Clusters]:
+    segments = runtime.table(spark, sf_dir, "vector_segments")
+    return segments, clusters.cluster(segments, runtime.table(spark, sf_dir, "vector_collections"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live segment vectors in clusters of mutually similar ones."""
+    return clusters.members(_clustered(spark, sf_dir)[1]).select(F.col("label").alias("cluster_key"), F.col("key").alias("vec_key"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and most typical keys."""
+    return clusters.describe(*_clustered(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +91,23 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir)[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates, "p8_limits": p8_limits}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates, "p8_limits": p8_limits}
+
+_LIVE = """
+    seg AS (SELECT DISTINCT s.segment_id, s.table_name, s.vectors, s.keys, s.deleted, c.dimension AS dim, c.metric AS how, c.top_k, c.min_score
+            FROM vector_segments s JOIN vector_collections c ON s.table_name = c.table_name),
+    live AS (SELECT DISTINCT table_name, how, top_k, min_score, keys[i] AS id, CAST(vectors[(i - 1) * dim + 1 : i * dim] AS DOUBLE[]) AS v
+             FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS i FROM seg) WHERE NOT deleted[i])"""
+
+_SCORE = """CASE a.how WHEN 'l2' THEN -list_distance(a.v, b.v) WHEN 'inner' THEN list_inner_product(a.v, b.v)
+            ELSE CASE WHEN list_inner_product(a.v, a.v) = 0 OR list_inner_product(b.v, b.v) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END END"""
 
 SQL = {
+    "p1_found": f"""
+        WITH {_LIVE}
+        SELECT least(a.id, min(b.id)) AS cluster_key, a.id AS vec_key
+        FROM live a JOIN live b ON a.table_name = b.table_name AND a.id <> b.id
+        WHERE {_SCORE} >= a.min_score GROUP BY a.table_name, a.id""",
     "p3_found": """
         SELECT incoming_id FROM (
             SELECT incoming_id, key, min(incoming_id) OVER (PARTITION BY key) AS first FROM incoming_entries WHERE key IS NOT NULL) i
