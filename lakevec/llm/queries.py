@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec import runtime
-from lakevec.llm import clusters, encode, mixture, seen, truncation
+from lakevec.llm import clusters, encode, mixture, neighbours, seen, truncation
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, clusters.Clusters]:
@@ -24,6 +24,13 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(*_clustered(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one is among the most similar ones of the other."""
+    t = lambda name: runtime.table(spark, sf_dir, name)
+    rows = neighbours.vector_rows(t("vector_segments"), t("vector_upserts"), t("knowledge_chunks"))
+    return neighbours.nearest_pairs(rows, t("vector_collections")).select("id_a", "id_b")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming records whose key occurred in the stored entries or in an earlier record."""
     history = runtime.table(spark, sf_dir, "sstable_entries").select("key")
@@ -91,7 +98,7 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates, "p8_limits": p8_limits}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates, "p8_limits": p8_limits}
 
 _LIVE = """
     seg AS (SELECT DISTINCT s.segment_id, s.table_name, s.vectors, s.keys, s.deleted, c.dimension AS dim, c.metric AS how, c.top_k, c.min_score
