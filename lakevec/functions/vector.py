@@ -73,7 +73,7 @@ def score(a: Vector, b: Vector, metric: str) -> Column:
     """The search score, higher is better: cosine (0 at a zero vector), minus the Euclidean distance, or the dot product."""
     m = types.metric(metric)
     if m == "l2":
-        return -euclidean(a, b)
+        return F.lit(0.0) - euclidean(a, b)
     if m == "inner":
         return inner_product(a, b)
     return _cosine(a, b, F.lit(0.0))
