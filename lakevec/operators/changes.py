@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 _RANK, _DELETE = "__lv_rank", "__lv_delete"
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """The newest row of each key by the columns of order (greatest first, null oldest).
 
@@ -18,9 +26,10 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: Sequen
     row_number of 1, which Spark also evaluates before the shuffle (WindowGroupLimit): every task sends at most
     one row of a key, so that a hot key costs no more than any other.
     """
+    rank = _free(df, _RANK)
     keyed = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in [*order, *tie]))
-    return keyed.withColumn(_RANK, F.row_number().over(w)).filter(F.col(_RANK) == 1).drop(_RANK)
+    return keyed.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
 def apply_changes(
@@ -40,10 +49,7 @@ def apply_changes(
     Result: the columns of changes, one row per key with a value at the end. Null keys have no state. An empty
     feed gives the base without its older versions. Columns of any name may be present.
     """
-    taken = {c.lower() for c in changes.columns}
-    flag = _DELETE
-    while flag.lower() in taken:
-        flag += "_"
+    flag = _free(changes, _DELETE)
     rows = changes.withColumn(flag, F.coalesce(deleted, F.lit(False)))
     if base is not None:
         rows = rows.unionByName(base.select(*changes.columns).withColumn(flag, F.lit(False)))

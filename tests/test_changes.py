@@ -46,9 +46,9 @@ def test_edges(spark):
 
 
 def test_clashing_columns(spark):
-    df = spark.createDataFrame([("a", "1", 1, 1)], KIND).withColumn("__lv_delete", F.lit(7)).withColumn("n", F.lit(1))
+    df = spark.createDataFrame([("a", "1", 1, 1)], KIND).withColumn("__lv_delete", F.lit(7)).withColumn("__lv_rank", F.lit(8)).withColumn("n", F.lit(1))
     out = apply_changes(df, ["key"], ["timestamp", "sequence"], F.col("value").isNull())
-    assert out.columns == df.columns and out.first()["__lv_delete"] == 7
+    assert out.columns == df.columns and tuple(out.first())[4:6] == (7, 8)
 
 
 def test_hot_key_is_pruned_before_the_shuffle(spark):
