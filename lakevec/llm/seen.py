@@ -201,9 +201,11 @@ def seen_before(history: DataFrame, incoming: DataFrame, key: str, order: str, w
     gathered anywhere.
     """
     parts, bits = plan(history.count() + incoming.count(), wrong_rate)
-    index = build_index(history, key, parts, bits)
-    new = unseen(index, incoming, key, order, parts, bits)
-    return incoming.filter(F.col(f"`{key}`").isNotNull()).join(new, F.col(f"`{order}`") == F.col("first"), "left_anti")
+    index = build_index(history.select(F.col(f"`{key}`").alias("k")), "k", parts, bits)
+    batch = incoming.select(F.col(f"`{key}`").alias("k"), F.col(f"`{order}`").alias("o"))
+    new = unseen(index, batch, "k", "o", parts, bits).withColumnRenamed("first", order)
+    found = incoming.filter(F.col(f"`{key}`").isNotNull()).join(new, order, "left_anti")
+    return found.select(*(f"`{c}`" for c in incoming.columns))
 
 
 def report(history: DataFrame, incoming: DataFrame, configs: DataFrame, key: str, order: str, config: str, rate: str, wrong_rate: float = WRONG_RATE) -> DataFrame:
