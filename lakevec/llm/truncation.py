@@ -87,6 +87,8 @@ def ending(text: str) -> str:
         return OPEN if len(line) <= 24 and line.endswith(" ...") else BROKEN
     if line.startswith("=="):
         return COMPLETE if line.endswith("==") and len(line) > 4 else BROKEN
+    if line == "|}":
+        return COMPLETE
     if line.startswith(("*", "#", "|", "!", ":", ";")):
         if line.lower().startswith("#re"):
             return COMPLETE
@@ -108,10 +110,15 @@ def ending(text: str) -> str:
     return OPEN if _repeats(line) else BROKEN
 
 
-def lengths(text: str) -> list[str]:
-    """The parts of a text whose lengths may be a limit: the text as it is, and without what was added after a cut."""
+def lengths(text: str, state: str = COMPLETE) -> list[str]:
+    """The parts of a text whose lengths may be a limit: the text as it is, and without what was added after a cut.
+
+    Where lines were added under an ending that is open, only the part above them can have been cut.
+    """
     b = body(text)
-    ways = [text, text.rstrip("\r\n"), text.rstrip(), _ELLIPSIS.sub("", text), b, _ELLIPSIS.sub("", b)]
+    ways = [b, _ELLIPSIS.sub("", b)]
+    if state != OPEN or b == text.rstrip():
+        ways += [text, text.rstrip("\r\n"), text.rstrip(), _ELLIPSIS.sub("", text)]
     if text.endswith("�"):
         ways.append(text.rstrip("�"))
     return [w for w in dict.fromkeys(ways) if w]
@@ -127,12 +134,13 @@ def _shapes(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in part.to_pylist():
             t = t or ""
             found = {}
-            for w in lengths(t):
+            state = ending(t)
+            for w in lengths(t, state):
                 found["chars", len(w)] = 0
                 wide = len(w[-1].encode())
                 size = len(w.encode())
                 found["bytes", size] = max(found.get(("bytes", size), 0), wide - 1 if w[-1] != "�" else 3)
-            rows.append({"state": ending(t), "lengths": [{"unit": u, "length": n, "slack": s} for (u, n), s in found.items()]})
+            rows.append({"state": state, "lengths": [{"unit": u, "length": n, "slack": s} for (u, n), s in found.items()]})
         yield pa.array(rows, type=kind)
 
 

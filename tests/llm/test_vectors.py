@@ -1,0 +1,179 @@
+import numpy as np
+import pytest
+
+from lakevec.llm import cftree, clusters, neighbours
+from lakevec.llm import vectors as V
+
+SEGMENT = "segment_id long, table_name string, metric string, vectors array<float>, keys array<long>, deleted array<boolean>, label string"
+COLLECTION = "table_name string, column_name string, dimension int, metric string, top_k int, min_score double"
+
+
+def naive_ward(n, c, groups):
+    parts = [[i] for i in range(len(n))]
+    while len(parts) > groups:
+        best = None
+        for i in range(len(parts)):
+            for j in range(i):
+                a, b = n[parts[i]].sum(), n[parts[j]].sum()
+                x, y = (c[parts[i]] * n[parts[i], None]).sum(0) / a, (c[parts[j]] * n[parts[j], None]).sum(0) / b
+                d = a * b / (a + b) * ((x - y) ** 2).sum()
+                if best is None or d < best[0]:
+                    best = (d, i, j)
+        parts[best[2]] += parts.pop(best[1])
+    return sorted(map(sorted, parts))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ward_is_ward(seed):
+    r = np.random.default_rng(seed)
+    n, c = r.integers(1, 6, 30).astype(float), r.normal(size=(30, 3))
+    label = cftree.ward(n, c, 7)
+    assert sorted(list(np.flatnonzero(label == k)) for k in range(7)) == naive_ward(n, c, 7)
+
+
+def test_trees_merge_and_stay_bounded():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(6000, 12))
+    a, b = cftree.CFTree(12, 0.1, 200), cftree.CFTree(12, 0.1, 200)
+    a.add(x[:3000])
+    b.add(x[3000:])
+    a.insert(*b.leaves())
+    n, ls, ss = a.leaves()
+    assert 50 < len(n) <= 200 and n.sum() == 6000
+    assert np.allclose(ls.sum(axis=0), x.sum(axis=0)) and np.isclose(ss.sum(), (x * x).sum())
+    same = cftree.CFTree(3, 0.1, 64)
+    same.add(np.ones((5000, 3)))
+    assert len(same.leaves()[0]) == 1
+
+
+def test_packing():
+    m = np.array([[0.5, -2.0], [0.1, 3.0], [70000.0, 0.0]], dtype=np.float32)
+    packed = V.pack(m)
+    assert [len(p) for p in packed] == [4, 8, 8] and (V.unpack(packed, 2) == m).all()
+
+
+def test_footrule():
+    r = np.random.default_rng(2)
+    perm = np.array([r.permutation(20)[:8] for _ in range(40)], dtype=np.uint16)
+    near = neighbours.footrule(perm, np.arange(40))
+    place = lambda p, x: list(p).index(x) if x in p else 8
+    for i in range(0, 40, 7):
+        for j in range(40):
+            far = sum(abs(place(perm[i], x) - place(perm[j], x)) for x in set(perm[i]) | set(perm[j]))
+            assert 2 * near[i, j] == 72 - far
+
+
+def test_blocks():
+    arrays = [np.arange(5), np.zeros((0, 3), dtype=np.float16), np.eye(3, dtype=np.float32), np.array([1, 2], dtype=np.uint16)]
+    back = neighbours.from_block(neighbours.to_block(arrays))
+    assert all((a == b).all() and a.dtype == b.dtype and a.shape == b.shape for a, b in zip(arrays, back))
+
+
+def data(seed=0, groups=60, noise=80, dim=16):
+    """Tight groups of unit vectors that are far from each other, single ones, copies, zeros; a third of all in one group."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        centre = r.normal(size=dim)
+        for _ in range(400 if g == 0 else r.integers(2, 12)):
+            v = centre / np.linalg.norm(centre) + r.normal(size=dim) * 0.02
+            rows.append(v * (r.uniform(0.5, 3) if g % 2 else 1))
+    rows += [r.normal(size=dim) for _ in range(noise)] + [np.zeros(dim)] * 3 + [rows[50]] * 40
+    m = np.array(rows, dtype=np.float16).astype(np.float32)
+    keys = r.permutation(10 * len(m))[: len(m)]
+    deleted = r.random(len(m)) < 0.05
+    return keys, m, deleted
+
+
+def tables(spark, keys, m, deleted, dim=16):
+    segs, size = [], 70
+    for s, at in enumerate(range(0, len(m), size)):
+        e = slice(at, at + size)
+        segs.append((s, "t", "COSINE", m[e].ravel().tolist(), keys[e].tolist(), deleted[e].tolist(), "x"))
+    segs += [segs[2], (900, "unknown", None, [1.0] * dim, [7], [False], "x"), (901, "t", None, None, None, None, None), (902, "t", None, [], [], [], None), (903, "t", "l2", [float("nan")] * dim, [10**7], [False], None)]
+    cols = [("t", "v", dim, "cosine", 4, 0.9), ("empty", "v", 3, "l2", 2, -1.0)]
+    return spark.createDataFrame(segs, SEGMENT).repartition(4), spark.createDataFrame(cols, COLLECTION)
+
+
+def score(a, b, metric="cosine"):
+    return V.scores(V.comparable(a, metric).astype(float), V.comparable(b, metric).astype(float), metric).round(9)
+
+
+@pytest.fixture(scope="module")
+def case():
+    return data()
+
+
+def test_clusters_are_exact(spark, case, monkeypatch):
+    monkeypatch.setattr(clusters, "PER_REGION", 60)
+    monkeypatch.setattr(clusters, "REGION_LIMIT", 40)
+    monkeypatch.setattr(clusters, "FAN_IN", 2)
+    keys, m, deleted = case
+    segs, cols = tables(spark, *case)
+    k, x = keys[~deleted], m[~deleted]
+    similar = score(x, x) >= 0.9
+    np.fill_diagonal(similar, False)
+    want = {(int(min(k[i], k[similar[i]].min())), int(k[i])) for i in range(len(k)) if similar[i].any()}
+    found = clusters.cluster(segs, cols)
+    assert {(r.label, r.key) for r in clusters.members(found).collect()} == want
+    sizes = {}
+    for c, _ in want:
+        sizes[c] = sizes.get(c, 0) + 1
+    described = {r.cluster_key: r for r in clusters.describe(segs, found).collect()}
+    assert {c: r.size for c, r in described.items()} == sizes
+    place = {int(v): i for i, v in enumerate(k)}
+    for c, r in list(described.items())[:20]:
+        mine = sorted(v for d, v in want if d == c)
+        u = V.comparable(x[[place[v] for v in mine]], "cosine")
+        far = np.sqrt(((u - u.mean(axis=0)) ** 2).sum(axis=1))
+        assert np.allclose(far[[mine.index(v) for v in r.typical_keys]], np.sort(far)[: len(r.typical_keys)], atol=1e-6)
+
+
+def test_no_vectors(spark):
+    segs, cols = tables(spark, *data())
+    found = clusters.cluster(segs.limit(0), cols)
+    assert clusters.members(found).count() == 0
+    assert neighbours.nearest_pairs(neighbours.vector_rows(segs.limit(0), None, None), cols).count() == 0
+    assert clusters.members(clusters.cluster(segs, cols.limit(0))).count() == 0
+
+
+def best(k, x, metric, top, least):
+    s = score(x, x, metric)
+    np.fill_diagonal(s, -np.inf)
+    out = {}
+    for i in range(len(k)):
+        order = sorted(range(len(k)), key=lambda j: (-s[i, j], k[j]))[:top]
+        out[int(k[i])] = [int(k[j]) for j in order if s[i, j] >= least]
+    return out
+
+
+@pytest.mark.parametrize(("metric", "least"), [("cosine", 0.9), ("l2", -1.0), ("inner", 0.8)])
+def test_recall_against_brute_force(spark, metric, least):
+    keys, m, deleted = data(3)
+    if metric == "inner":
+        m = V.comparable(m, "cosine").astype(np.float16).astype(np.float32)
+    segs, _ = tables(spark, keys, m, deleted)
+    cols = spark.createDataFrame([("t", "v", 16, metric, 4, least)], COLLECTION)
+    extra = [(1, "t", 10**6 + i, v, "v") for i, v in enumerate(([1.0] * 16, None, [1.0] * 15, [float("inf")] * 16, [1.0] * 16, [None] * 16))]
+    ups = spark.createDataFrame([*extra, extra[0], (9, None, 5, [1.0] * 16, None), (9, "t", None, [1.0] * 16, None)], "request_id long, table_name string, id long, vector array<float>, column_name string")
+    found = {(r.id_a, r.id_b) for r in neighbours.nearest_pairs(neighbours.vector_rows(segs, ups, None), cols).collect()}
+    k = np.concatenate([keys[~deleted], [10**6, 10**6 + 4]])
+    x = np.concatenate([m[~deleted], np.ones((2, 16), dtype=np.float32)])
+    want = {(min(a, b), max(a, b)) for a, others in best(k, x, metric, 4, least).items() for b in others}
+    assert len(want & found) >= 0.9 * len(want)
+    assert len(found - want) <= 0.1 * len(found)
+    assert (10**6, 10**6 + 4) in found
+
+
+def test_copies_are_each_others_nearest(spark):
+    """One vector under a third of all ids: its copies follow the smallest ones, also across tasks."""
+    keys, m, _ = data(5)
+    m[: len(m) // 3] = m[0]
+    deleted = np.zeros(len(m), dtype=bool)
+    segs, _ = tables(spark, keys, m, deleted)
+    cols = spark.createDataFrame([("t", "v", 16, "cosine", 4, 0.9)], COLLECTION)
+    found = {(r.id_a, r.id_b) for r in neighbours.nearest_pairs(neighbours.vector_rows(segs, None, None), cols).collect()}
+    same = sorted(int(v) for v in keys[(m == m[0]).all(axis=1)])
+    for v in same:
+        for b in [u for u in same if u != v][:4]:
+            assert (min(v, b), max(v, b)) in found
