@@ -37,16 +37,19 @@ class Engine:
         self.spark = spark
         self.catalog = Catalog(spark, root) if root else None
         self._frames: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
         """Makes a DataFrame a table that can be queried."""
         self._frames[name] = df
 
     def register_parquet(self, directory: str, *names: str) -> None:
-        for n in names:
-            self.register(n, self.spark.read.parquet(f"{directory}/{n}.parquet"))
+        """Makes Parquet files of a directory tables; a file's schema is read when it is first queried."""
+        self._paths.update({n: f"{directory}/{n}.parquet" for n in names})
 
     def table(self, name: str) -> DataFrame:
+        if name not in self._frames and name in self._paths:
+            self._frames[name] = self.spark.read.parquet(self._paths[name])
         if name in self._frames:
             return self._frames[name]
         if self.catalog is None:
@@ -96,7 +99,7 @@ class Engine:
         return self.catalog
 
     def _writable(self, table: str) -> Catalog:
-        if table in self._frames:
+        if table in self._frames or table in self._paths:
             raise errors.ReadOnly(f"{table} is a registered DataFrame")
         catalog = self._need()
         if not catalog.table_exists(table):
