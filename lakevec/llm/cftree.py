@@ -157,7 +157,10 @@ def ward(n: np.ndarray, centres: np.ndarray, groups: int) -> np.ndarray:
     if size <= groups:
         return np.arange(size)
     weight = n.astype(np.float64).copy()
-    d = (_squares(centres, centres) * (weight[:, None] * weight[None, :] / (weight[:, None] + weight[None, :]))).astype(np.float32)
+    d = np.empty((size, size), dtype=np.float32)
+    for at in range(0, size, 256):
+        part = slice(at, at + 256)
+        d[part] = _squares(centres[part], centres) * (weight[part, None] * weight[None, :] / (weight[part, None] + weight[None, :]))
     np.fill_diagonal(d, np.inf)
     alive = np.ones(size, dtype=bool)
     merges: list[tuple[float, int, int]] = []

@@ -19,9 +19,10 @@ from lakevec.llm.cftree import ward
 #: hash of the id); every vector is indexed. The broadcast pivots are at most MOST_PIVOTS x dimension numbers a table.
 PER_PIVOT, FEWEST_PIVOTS, MOST_PIVOTS = 128, 64, 4096
 #: Pivots in a vector's permutation, and the first of them in whose inverted files it is posted.
-LENGTH, POSTED = 8, 3
-#: Inverted files of neighbouring pivots that are kept together, at most, and vectors planned for such a bucket.
-FILES_PER_BUCKET, PER_BUCKET = 32, 40_000
+LENGTH, POSTED = 8, 4
+#: Inverted files of neighbouring pivots that are kept together, vectors planned for such a bucket, and the most buckets
+#: a vector is sent to, those of its nearest pivots.
+FILES_PER_BUCKET, PER_BUCKET, MOST_BUCKETS = 64, 40_000, 3
 #: Best candidates by footrule distance that are reranked: so many, or this part of a file if it is more.
 CANDIDATES, CANDIDATE_PART = 128, 0.5
 #: Vectors handled at once in a task, cells of a block of scores, and ids planned for a cell of results.
@@ -197,22 +198,17 @@ def _post(rows: DataFrame, known: list[V.Collection], shared) -> DataFrame:  # n
             if not len(ids):
                 continue
             c, p = known[tab], shared.value[tab]
-            # ids are sorted: within a class of equal vectors the first rows have the smallest
-            same = np.unique(m.view(np.dtype((np.void, m.dtype.itemsize * c.dimension))).ravel(), return_inverse=True)[1].ravel()
-            order = np.argsort(same, kind="stable")
-            first = np.concatenate([[True], np.diff(same[order]) != 0])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            rank = np.arange(len(order)) - start
-            follow = rank > c.top_k
-            leader = ids[order[start[follow]]]
-            follower, lead_row = ids[order[follow]], order[start[follow]]
-            keep = np.sort(order[~follow])
+            # ids are sorted: of equal vectors the first rows have the smallest
+            keep, follow, lead_row = _copies(m, c.top_k + 1)
+            follower, leader = ids[follow], ids[lead_row]
             x = V.comparable(m, c.metric)
             perm = permutations(x[keep], p.points, c.metric)
             bucket = p.bucket[perm[:, :POSTED]]
             at_rows, at_buckets = [], []
+            distinct = np.zeros(len(bucket), dtype=np.int64)
             for j in range(bucket.shape[1]):
-                new = ~(bucket[:, :j] == bucket[:, j : j + 1]).any(axis=1)
+                new = ~(bucket[:, :j] == bucket[:, j : j + 1]).any(axis=1) & (distinct < MOST_BUCKETS)
+                distinct += new
                 at_rows.append(np.flatnonzero(new))
                 at_buckets.append(bucket[new, j])
             r, b = np.concatenate(at_rows), np.concatenate(at_buckets)
@@ -241,13 +237,15 @@ def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
     length = perm.shape[1]
     local, inverse = np.unique(perm, return_inverse=True)
     inverse = inverse.reshape(perm.shape)
-    weight = np.zeros((len(rows), len(local)), dtype=np.uint8)
+    # a line for each pivot, so that whole lines are gathered
+    weight = np.zeros((len(local), len(rows)), dtype=np.uint8)
     for j in range(length):
-        weight[np.arange(len(rows)), inverse[rows, j]] = length - j
-    out = np.zeros((len(rows), len(perm)), dtype=np.uint8)
-    for j in range(length):
-        out += np.minimum(weight[:, inverse[:, j]], np.uint8(length - j))
-    return out
+        weight[inverse[rows, j], np.arange(len(rows))] = length - j
+    out = np.minimum(weight[inverse[:, 0]], np.uint8(length))
+    for j in range(1, length):
+        line = weight[inverse[:, j]]
+        out += np.minimum(line, np.uint8(length - j), out=line)
+    return np.ascontiguousarray(out.T)
 
 
 def search_bucket(ids: np.ndarray, perm: np.ndarray, m: np.ndarray, bucket_files: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,9 +256,10 @@ def search_bucket(ids: np.ndarray, perm: np.ndarray, m: np.ndarray, bucket_files
     """
     x = V.comparable(m, c.metric).astype(np.float32)
     square = (x * x).sum(axis=1)
-    found_a, found_b = [], []
-    spare = c.top_k + 8
-    margin = 1e-3 * max(1.0, abs(c.min_score))
+    found_a, found_b, found_s = [], [], []
+    # what is better than the last of top_k, and all kept copies of that one
+    spare = 2 * c.top_k + 2
+    least = c.min_score - 1e-3 * max(1.0, abs(c.min_score))
     for file in bucket_files:
         here = np.flatnonzero((perm[:, :POSTED] == file).any(axis=1))
         g = len(here)
@@ -274,43 +273,64 @@ def search_bucket(ids: np.ndarray, perm: np.ndarray, m: np.ndarray, bucket_files
             s = xs[q] @ xs.T
             if c.metric == "l2":
                 s = -np.sqrt(np.maximum(square[here[q]][:, None] + square[here][None, :] - 2 * s, 0))
+            s[np.arange(len(q)), q] = -np.inf
             if keep < g:
                 near = footrule(ps, q)
                 cut = np.partition(near, g - keep, axis=1)[:, g - keep]
                 s[near < cut[:, None]] = -np.inf
-            s[np.arange(len(q)), q] = -np.inf
-            good = s >= c.min_score - margin
-            rows = np.flatnonzero(good.any(axis=1))
-            if not len(rows):
-                continue
-            s = s[rows]
-            top = np.argpartition(-s, spare - 1, axis=1)[:, :spare] if spare < g else np.tile(np.arange(g), (len(rows), 1))
-            on = np.take_along_axis(s, top, axis=1) >= c.min_score - margin
-            i, j = np.nonzero(on)
-            found_a.append(here[q[rows[i]]])
-            found_b.append(here[top[i, j]])
+            good = s >= least
+            count = good.sum(axis=1)
+            few, many = np.flatnonzero((count > 0) & (count <= spare)), np.flatnonzero(count > spare)
+            i, j = np.nonzero(good[few])
+            i = few[i]
+            if len(many):
+                top = np.argpartition(s[many], g - spare, axis=1)[:, g - spare :]
+                i, j = np.concatenate([i, np.repeat(many, spare)]), np.concatenate([j, top.ravel()])
+            found_a.append(here[q[i]])
+            found_b.append(here[j])
+            found_s.append(s[i, j])
+    none = np.zeros(0, dtype=np.int64)
     if not found_a:
-        none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0)
     n = len(ids)
-    pairs = np.unique(np.concatenate(found_a) * n + np.concatenate(found_b))
-    a, b = pairs // n, pairs % n
+    pairs, first = np.unique(np.concatenate(found_a) * n + np.concatenate(found_b), return_index=True)
+    a, b, rough = pairs // n, pairs % n, np.concatenate(found_s)[first]
+    order = np.lexsort((-rough, a))
+    a, b = a[order], b[order]
+    top = _place(a) < spare
+    a, b = a[top], b[top]
     score = np.empty(len(a))
-    for at in range(0, len(a), 1 << 16):
-        part = slice(at, at + (1 << 16))
+    for at in range(0, len(a), 1 << 15):
+        part = slice(at, at + (1 << 15))
         score[part] = V.exact_scores(m[a[part]], m[b[part]][:, None, :], c.metric)[:, 0]
     return best_of(a, b, ids[b], score, c)
 
 
+def _place(sorted_keys: np.ndarray) -> np.ndarray:
+    """The place of each element among the equal ones before it."""
+    if not len(sorted_keys):
+        return np.zeros(0, dtype=np.int64)
+    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+    at = np.arange(len(sorted_keys))
+    return at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+def _copies(m: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a matrix with at most so many of equal ones, the first; the other rows, and for each of these its first equal."""
+    same = np.unique(m.view(np.dtype((np.void, m.dtype.itemsize * m.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    place = _place(same[order])
+    follow = place >= most
+    return np.sort(order[~follow]), order[follow], order[np.flatnonzero(follow) - place[follow]]
+
+
 def best_of(a: np.ndarray, b: np.ndarray, b_ids: np.ndarray, score: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each a its top_k by score, greatest first, then smaller id, with a score of at least min_score."""
     on = score >= c.min_score
     a, b, b_ids, score = a[on], b[on], b_ids[on], score[on]
     order = np.lexsort((b_ids, -score, a))
     a, b, score = a[order], b[order], score[order]
-    first = np.concatenate([[True], np.diff(a) != 0]) if len(a) else np.zeros(0, dtype=bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-    top = np.arange(len(a)) - start < c.top_k
+    top = _place(a) < c.top_k
     return a[top], b[top], score[top]
 
 
@@ -338,9 +358,12 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
         ids, first = np.unique(ids, return_index=True)
         perm = np.concatenate([x[1] for x in parts])[first]
         m = np.concatenate([x[2].astype(np.float32) for x in parts])[first]
-        a, b, score = search_bucket(ids, perm, m, np.flatnonzero(p.bucket == bucket), c)
-        followers = np.concatenate([x[3] for x in parts])
-        leaders = np.concatenate([x[4] for x in parts])
+        # of equal vectors from different tasks again only the first take part
+        keep, follow, lead_row = _copies(m, c.top_k + 1)
+        followers = np.concatenate([*(x[3] for x in parts), ids[follow]])
+        leaders = np.concatenate([*(x[4] for x in parts), ids[lead_row]])
+        a, b, score = search_bucket(ids[keep], perm[keep], m[keep], np.flatnonzero(p.bucket == bucket), c)
+        a, b = keep[a], keep[b]
         self_at = np.searchsorted(ids, leaders)
         own = V.exact_scores(m[self_at], m[self_at][:, None, :], c.metric)[:, 0] if len(leaders) else np.zeros(0)
         a_cell = (_mixed(ids[a]) % np.uint64(cells)).astype(np.int64)
