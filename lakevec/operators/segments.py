@@ -39,17 +39,29 @@ class SegmentStore:
         tables = [table] if table else self.files.names(self.root)
         return sorted((t, int(n[8:])) for t in tables for n in self.files.names(f"{self.root}/{t}") if n.startswith("segment="))
 
-    def write(self, table: str, rows: DataFrame, compression: str = "zstd", row_group_size: int | None = None) -> int:
-        """Writes rows as a new segment and gives its number."""
+    def write(self, table: str, rows: DataFrame, compression: str = "zstd", row_group_size: int | None = None, bloom: Sequence[str] = ()) -> int:
+        """Writes rows as a new segment and gives its number; the columns of bloom get bloom filters in the files."""
         if not rows.columns:
             raise errors.SchemaMismatch("a segment needs a column")
         segment = max((n for _, n in self.list(table)), default=-1) + 1
         writer = rows.write.option("compression", compression)
         if row_group_size is not None:
             writer = writer.option("parquet.block.row.count.limit", row_group_size)
+        for c in bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(self._path(table, segment))
         return segment
 
+    def ingest(self, table: str, path: str, form: str = "parquet", delimiter: str = ",", header: bool = True, compression: str = "lz4", row_group_size: int | None = None) -> int:
+        """Writes a CSV or Parquet file as a new segment."""
+        if form == "csv":
+            rows = self.spark.read.options(sep=delimiter, header=header, inferSchema=True, mode="FAILFAST").csv(path)
+        elif form in ("parquet", "pq"):
+            rows = self.spark.read.parquet(path)
+        else:
+            raise errors.InvalidOption(f"unknown format {form}")
+        return self.write(table, rows, compression, row_group_size)
+
     def read(self, table: str, segment: int, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
         """A segment's rows; columns and condition reach the files."""
         if not self.files.exists(self._path(table, segment)):

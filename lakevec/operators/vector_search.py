@@ -105,6 +105,10 @@ class VectorStore:
         keys = rows.select(F.col(key).cast("long").alias("key")).distinct()
         return self._with(self.rows.join(keys, "key", "left_anti").select("key", "vector", "segment", "deleted")).append(rows, key, vector)
 
+    def get(self, keys: Sequence[int]) -> DataFrame:
+        """The live vectors of some keys."""
+        return self.rows.filter(F.col("key").isin(list(keys)) & ~F.col("deleted")).select("key", "vector")
+
     def statistics(self) -> DataFrame:
         """Per segment: active_count, deleted_count, deletion_ratio, norm_min, norm_max (of all vectors)."""
         n = vectors.norm("vector")

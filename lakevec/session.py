@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lakevec import errors, types
 from lakevec.operators import dml
+from lakevec.operators.vector_search import search_lsh
 from lakevec.plans import ast as A
 from lakevec.plans import select
 from lakevec.plans.parser import parse
@@ -33,8 +34,9 @@ class Result:
 class Engine:
     """Runs scripts of the dialect. Tables are those of the catalog and registered DataFrames, which can only be read."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str | None = None, approximate: bool = False):
+        """approximate: nearest-neighbour queries without WHERE on a column with an HNSW index take candidates from random projections."""
+        self.spark, self.approximate = spark, approximate
         self.catalog = Catalog(spark, root) if root else None
         self._frames: dict[str, DataFrame] = {}
         self._paths: dict[str, str] = {}
@@ -108,7 +110,7 @@ class Engine:
 
     def _run(self, s: A.Statement) -> Result:
         if isinstance(s, A.Select):
-            return Result(rows=select.plan(self.table(s.table), s))
+            return Result(rows=select.plan(self._candidates(s), s))
         if isinstance(s, A.Insert):
             return Result(affected=dml.insert(self._writable(s.table), s))
         if isinstance(s, A.Update):
@@ -127,6 +129,34 @@ class Engine:
         self._need().drop_index(s.name, if_exists=s.if_exists)
         return Result()
 
+    def _candidates(self, s: A.Select) -> DataFrame:
+        """The table of a SELECT; for an approximate nearest-neighbour query only rows near the query, which are then scored exactly."""
+        df = self.table(s.table)
+        knn = select.knn_of(s) if self.approximate else None
+        if knn is None or knn.filtered or knn.metric == "inner" or s.table in self._frames or self.catalog is None:
+            return df
+        key = self.catalog.get_table(s.table)["primary_key"]
+        indexes = (self.catalog.get_index(i) for i in self.catalog.list_indexes(s.table))
+        if not key or not any(i["method"] == "hnsw" and i["column"] == knn.column for i in indexes):
+            return df
+        return search_lsh(df, knn.query, knn.metric, 4 * knn.k, key[0], knn.column).drop("score")
+
+    def vector_search(self, table: str, column: str, query: Sequence[float], metric: str, k: int = 10) -> DataFrame:
+        """The primary key and score of the k nearest rows of a table with a key, as SQL scores them."""
+        key = self._need().get_table(table)["primary_key"]
+        if not key:
+            raise errors.InvalidOption(f"table {table} has no primary key")
+        m = types.metric(metric)
+        call = A.Call("vector_similarity", (A.ColumnRef(None, column), A.VectorLiteral(tuple(map(float, query))), A.Literal("string", m)))
+        items = (*(A.Item(A.ColumnRef(None, c)) for c in key), A.Item(call, "score"))
+        order = (A.OrderKey(call, select.NEAREST[m]), *(A.OrderKey(A.ColumnRef(None, c)) for c in key))
+        return select.plan(self.table(table), A.Select(items, table, order=order, limit=k))
+
+    def index_statistics(self, index: str) -> dict[str, object]:
+        """An index's table, column, method and options, and the number of rows it covers."""
+        entry = self._need().get_index(index)
+        return {**entry, "node_count": self.table(entry["table"]).count()}
+
     def _create_table(self, s: A.CreateTable) -> Result:
         catalog = self._need()
         if s.if_not_exists and catalog.table_exists(s.name):

@@ -143,6 +143,9 @@ def test_segments(spark, tmp_path):
     ids = store.scan("t", ["val"], F.col("id") == 2, row_ids=True)
     assert sorted((r.val, r.row_id) for r in ids.collect()) == [(20, 1), (21, (1 << 44) + 1)]
     assert segments.fetch_by_row_id(store.scan("t", row_ids=True), ids).count() == 2
+    (tmp_path / "i.csv").write_text("id|val\n7|70\n")
+    assert store.ingest("c", str(tmp_path / "i.csv"), "csv", "|") == 0 and store.read("c", 0).collect() == [(7, 70)]
+    assert store.write("b", df, bloom=["id"]) == 0 and store.read("b", 0, where=F.col("id") == 2).count() == 1
     with pytest.raises(errors.LakevecError):
         store.read("t", 9)
     store.drop("t", 0)

@@ -138,3 +138,12 @@ def test_indexes(db):
 def test_row_streams(db):
     assert [r.id for r in db.stream("SELECT id FROM users ORDER BY id")] == [1, 2, 3]
     assert db.with_rows("SELECT id FROM users", lambda it: sum(r.id for r in it)) == 6
+
+
+def test_approximate_search_by_index(db):
+    db.execute("CREATE INDEX h ON items (v) USING HNSW")
+    near = Engine(db.spark, db.catalog.root, approximate=True)
+    q = "SELECT id, vector_distance(v, [1.9, 0], 'l2') AS d FROM items ORDER BY vector_distance(v, [1.9, 0], 'l2') LIMIT 2"
+    assert rows(near, q) == rows(db, q)
+    assert [r.id for r in db.vector_search("items", "v", [1.9, 0], "L2", 2).collect()] == [3, 2]
+    assert db.index_statistics("h")["node_count"] == 3

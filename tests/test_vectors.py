@@ -76,6 +76,7 @@ def test_store(spark, df):
     assert store.compact([0]).rows.count() == 3
     found, seen = store.search([1.0, 0.0], 2)
     assert [r.key for r in found.collect()] == [4, 3] and seen.get["rows_scanned"] == 4 and seen.get["rows_matched"] == 3
+    assert [r.key for r in store.get([1, 2]).collect()] == [2]
     again = store.upsert(spark.createDataFrame([(4, [9.0, 9.0])], "key long, vector array<float>"))
     assert [r.key for r in again.search([9.0, 9.0], 1)[0].collect()] == [4] and again.rows.count() == 4
     for bad in (lambda: store.search([1.0], 1), lambda: store.search([1.0, 0.0], 1, "cosine"), lambda: S.VectorStore(spark, 0, "l2")):
