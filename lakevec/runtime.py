@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
-import shutil
+import io
 import tempfile
 import uuid
 import zipfile
@@ -17,20 +16,6 @@ _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="lakevec-ship-"), f"{PACKAGE.name}_{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(PACKAGE.parent))
-    spark.sparkContext.addPyFile(archive)
-    atexit.register(shutil.rmtree, os.path.dirname(archive), True)  # the driver serves it for as long as it runs
-    _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
@@ -57,6 +42,24 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, by way of the shared folder, so that Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(PACKAGE.rglob("*.py")):
+            z.write(p, p.relative_to(PACKAGE.parent))
+    path = f"{new_dir(spark, 'package')}/{PACKAGE.name}_{uuid.uuid4().hex[:8]}.zip"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder through the Hadoop file system API."""
     jvm = spark.sparkContext._jvm
