@@ -17,9 +17,9 @@ from lakevec.llm.cftree import ward
 
 #: Vectors for which a pivot is taken, and the fewest and most pivots of a table. Pivots are a bounded sample (by a
 #: hash of the id); every vector is indexed. The broadcast pivots are at most MOST_PIVOTS x dimension numbers a table.
-PER_PIVOT, FEWEST_PIVOTS, MOST_PIVOTS = 128, 64, 4096
+PER_PIVOT, FEWEST_PIVOTS, MOST_PIVOTS = 64, 64, 4096
 #: Pivots in a vector's permutation, and the first of them in whose inverted files it is posted.
-LENGTH, POSTED = 8, 4
+LENGTH, POSTED = 8, 5
 #: Inverted files of neighbouring pivots that are kept together, vectors planned for such a bucket, and the most buckets
 #: a vector is sent to, those of its nearest pivots.
 FILES_PER_BUCKET, PER_BUCKET, MOST_BUCKETS = 64, 40_000, 3
