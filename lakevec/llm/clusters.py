@@ -23,8 +23,8 @@ TASK_LEAVES, MERGED_LEAVES, FAN_IN = 512, 2048, 16
 PER_REGION, REGIONS = 1500, 2048
 #: Regions in which a representative is compared.
 PROBES = 4
-#: Vectors handled at once in a task, and representatives of a region compared in one task.
-BLOCK, REGION_LIMIT = 1 << 15, 1 << 14
+#: Vectors handled at once in a task, representatives of a region compared in one task, and scores computed at once.
+BLOCK, REGION_LIMIT, SCORES = 1 << 15, 1 << 14, 1 << 21
 
 _SUMMARY = "tab int, part int, n binary, ls binary, ss binary, threshold double"
 
@@ -75,7 +75,7 @@ def local_clusters(keys: np.ndarray, x: np.ndarray, metric: str, min_score: floa
     done = np.zeros(len(keys), dtype=bool)
     open_ = order
     while len(open_):
-        head = open_[:256]
+        head = open_[: max(16, min(256, SCORES // len(open_)))]
         near = V.scores(wide[head], wide[open_], metric) >= min_score
         for i, at in enumerate(head):
             if not done[at]:
@@ -150,11 +150,14 @@ def _arrow_summary() -> pa.Schema:
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     """The k nearest centres of each vector, nearest first."""
     k = min(k, len(centres))
-    d = (centres * centres).sum(axis=1)[None, :] - 2 * (x.astype(np.float32) @ centres.T)
-    if k == 1:
-        return d.argmin(axis=1)[:, None]
-    at = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1), axis=1)
+    out = np.empty((len(x), k), dtype=np.int32)
+    square = (centres * centres).sum(axis=1)[None, :]
+    step = max(1, SCORES // len(centres))
+    for start in range(0, len(x), step):
+        d = square - 2 * (x[start : start + step].astype(np.float32) @ centres.T)
+        at = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out[start : start + step] = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1), axis=1)
+    return out
 
 
 def assign(segments: DataFrame, known: list[V.Collection], centres: dict[int, np.ndarray]) -> DataFrame:
