@@ -290,12 +290,26 @@ def describe(segments: DataFrame, found: Clusters, typical: int = 3) -> DataFram
                 out += [{"tab": int(t), "label": int(i), "n": int(n), "ls": s.tobytes()} for i, n, s in zip(ids, np.bincount(inverse), total)]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tab", pa.int32()), ("label", pa.int64()), ("n", pa.int64()), ("ls", pa.binary())]))
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum([np.frombuffer(b) for b in pdf["ls"]], axis=0)
-        n = pdf["n"].sum()
-        return pd.DataFrame({"tab": [pdf["tab"].iloc[0]], "label": [pdf["label"].iloc[0]], "size": [n], "centre": [(s / n).tobytes()]})
+    kinds = pa.schema([("tab", pa.int32()), ("label", pa.int64()), ("size", pa.int64()), ("centre", pa.binary())])
 
-    centres = rows.select("tab", "label", "vec").mapInArrow(sums, "tab int, label long, n long, ls binary").groupBy("tab", "label").applyInPandas(total, "tab int, label long, size long, centre binary")
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums the parts of each label, which come one after another."""
+        label, n, total = None, 0, np.zeros(0)
+        for b in batches:
+            out = []
+            for t, at, m, part in zip(*(b.column(c).to_pylist() for c in ("tab", "label", "n", "ls"))):
+                if (t, at) == label:
+                    n, total = n + m, total + np.frombuffer(part)
+                    continue
+                if label is not None:
+                    out.append({"tab": label[0], "label": label[1], "size": n, "centre": (total / n).tobytes()})
+                label, n, total = (t, at), m, np.frombuffer(part)
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        if label is not None:
+            yield pa.RecordBatch.from_pylist([{"tab": label[0], "label": label[1], "size": n, "centre": (total / n).tobytes()}], schema=kinds)
+
+    centres = rows.select("tab", "label", "vec").mapInArrow(sums, "tab int, label long, n long, ls binary")
+    centres = centres.repartition("tab", "label").sortWithinPartitions("tab", "label").mapInArrow(totals, "tab int, label long, size long, centre binary")
     centres = runtime.written(centres, "cluster-centres")
 
     def distance(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
