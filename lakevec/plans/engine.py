@@ -90,7 +90,7 @@ _dialect(
     "SELECT l_orderkey, l_linenumber, l_quantity NOT BETWEEN 10 AND 20 AS outside FROM lineitem WHERE l_extendedprice BETWEEN 1000 AND 20000.5",
     "SELECT l_orderkey, l_linenumber, l_quantity NOT BETWEEN 10 AND 20 AS outside FROM lineitem WHERE l_extendedprice BETWEEN 1000 AND 20000.5::DOUBLE",
 )
-_dialect("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_'", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_'")
+_dialect("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%A_%'", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%A_%'")
 _dialect(
     "filter_not_like_escape",
     "SELECT user_id, event_id FROM events WHERE event_type NOT LIKE '%!_%' ESCAPE '!'",
