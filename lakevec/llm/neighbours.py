@@ -360,8 +360,12 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
         m = np.concatenate([x[2].astype(np.float32) for x in parts])[first]
         # of equal vectors from different tasks again only the first take part
         keep, follow, lead_row = _copies(m, c.top_k + 1)
+        # the leader that a task named may follow a smaller one itself: its followers go over to that one
+        final = ids.copy()
+        final[follow] = ids[lead_row]
+        named = np.concatenate([x[4] for x in parts])
         followers = np.concatenate([*(x[3] for x in parts), ids[follow]])
-        leaders = np.concatenate([*(x[4] for x in parts), ids[lead_row]])
+        leaders = np.concatenate([final[np.searchsorted(ids, named)], ids[lead_row]])
         a, b, score = search_bucket(ids[keep], perm[keep], m[keep], np.flatnonzero(p.bucket == bucket), c)
         a, b = keep[a], keep[b]
         self_at = np.searchsorted(ids, leaders)

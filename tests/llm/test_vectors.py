@@ -177,3 +177,19 @@ def test_copies_are_each_others_nearest(spark):
     for v in same:
         for b in [u for u in same if u != v][:4]:
             assert (min(v, b), max(v, b)) in found
+
+
+def test_followers_of_dropped_leaders_keep_their_pairs(spark):
+    """Copies in more tasks than top_k + 1, more than top_k + 1 in each, ids ordered by task: most leaders follow another task's."""
+    r = np.random.default_rng(8)
+    tasks, top = 8, 4
+    rows = []
+    for t in range(tasks):
+        m = np.concatenate([np.ones((12, 16)), r.normal(size=(5, 16))]).astype(np.float16).astype(np.float32)
+        rows.append((t, "t", "cosine", m.ravel().tolist(), list(range(100 * t, 100 * t + 17)), [False] * 17, "x"))
+    segs = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), SEGMENT)
+    cols = spark.createDataFrame([("t", "v", 16, "cosine", top, 0.9)], COLLECTION)
+    found = {(x.id_a, x.id_b) for x in neighbours.nearest_pairs(neighbours.vector_rows(segs, None, None), cols).collect()}
+    same = [100 * t + i for t in range(tasks) for i in range(12)]
+    want = {(min(v, b), max(v, b)) for v in same for b in [u for u in same if u != v][:top]}
+    assert found == want
