@@ -223,6 +223,12 @@ def _leader_links(assigned: DataFrame, known: list[V.Collection]) -> DataFrame:
     return runtime.written(links.distinct(), "links")
 
 
+def _repeated_leaders(assigned: DataFrame) -> DataFrame:
+    """Pairs (tab, key, root) of leaders and those that they follow in another block, where their segment is present again."""
+    leaders = assigned.filter("vec IS NOT NULL").select("tab", "key")
+    return assigned.filter("leader <> key").select("tab", "key", F.col("leader").alias("root")).join(leaders, ["tab", "key"], "left_semi")
+
+
 def _smallest_labels(links: DataFrame) -> DataFrame:
     """For every key in links the smallest key connected with it: tab, key, label. Labels spread along links until none changes."""
     both = runtime.written(links.select("tab", "key", "root").union(links.select("tab", F.col("root").alias("key"), F.col("key").alias("root"))).distinct(), "both-ways")
@@ -249,10 +255,12 @@ def cluster(segments: DataFrame, collections: DataFrame) -> Clusters:
     known = V.collections(collections)
     centres = region_centres(segments, known)
     assigned = assign(segments, known, centres)
-    labels = _smallest_labels(_leader_links(assigned, known))
+    labels = _smallest_labels(_leader_links(assigned, known).union(_repeated_leaders(assigned)).distinct())
     members = assigned.select("tab", "key", "leader").distinct()
     joined = members.join(labels.select("tab", F.col("key").alias("leader"), "label"), ["tab", "leader"], "left")
-    return Clusters(known, runtime.written(joined.select("tab", "key", F.coalesce("label", "leader").alias("label")), "clustered"))
+    # a key of a repeated segment may have a leader in each block
+    once = joined.groupBy("tab", "key").agg(F.min(F.coalesce("label", "leader")).alias("label"))
+    return Clusters(known, runtime.written(once, "clustered"))
 
 
 def members(found: Clusters) -> DataFrame:

@@ -193,3 +193,38 @@ def test_followers_of_dropped_leaders_keep_their_pairs(spark):
     same = [100 * t + i for t in range(tasks) for i in range(12)]
     want = {(min(v, b), max(v, b)) for v in same for b in [u for u in same if u != v][:top]}
     assert found == want
+
+
+def test_repeated_segments_count_once(spark, monkeypatch):
+    """Each task has a segment of its own and one that is in every task; in each the repeated keys have another leader."""
+    monkeypatch.setattr(clusters, "PER_REGION", 20)
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(12, 16))
+    near = lambda n: np.array(centres[np.arange(n) % 12] + r.normal(size=(n, 16)) * 0.02, dtype=np.float16).astype(np.float32)
+    again, tasks = near(24), 4
+    rows = []
+    for t in range(tasks):
+        m = near(12)
+        # the last task's own keys are greater, so that the repeated ones lead there
+        keys = [1000 - 200 * t + i if t < tasks - 1 else 5000 + i for i in range(12)]
+        rows += [[(t, "t", "cosine", m.ravel().tolist(), keys, [False] * 12, "x"), (90, "t", "cosine", again.ravel().tolist(), list(range(2000, 2024)), [False] * 24, "x")]]
+    segs = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks).flatMap(lambda x: x), SEGMENT)
+    cols = spark.createDataFrame([("t", "v", 16, "cosine", 4, 0.9)], COLLECTION)
+    found = clusters.cluster(segs, cols)
+    everything = [k for x in rows for k in x[0][4]] + rows[0][1][4]
+    assert sorted(v.key for v in found.vectors.collect()) == sorted(everything)
+    # of the smallest task's keys each leads the cluster of its centre
+    want = sorted((600 + i % 12, k) for x in [*(y[0][4] for y in rows), rows[0][1][4]] for i, k in enumerate(x))
+    assert sorted((v.label, v.key) for v in clusters.members(found).collect()) == want
+    assert {v.cluster_key: v["size"] for v in clusters.describe(segs, found).collect()} == {600 + i: 6 for i in range(12)}
+
+
+def test_leader_that_follows_in_another_block_takes_its_cluster_along(spark):
+    """The repeated vector b leads c in one task and follows a in the other; a and c aren't similar."""
+    at = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    b = (1, "t", "cosine", at(20), [2], [False], "x")
+    one = [(0, "t", "cosine", at(0), [1], [False], "x"), b]
+    two = [b, (2, "t", "cosine", at(40), [3], [False], "x")]
+    segs = spark.createDataFrame(spark.sparkContext.parallelize([one, two], 2).flatMap(lambda x: x), SEGMENT)
+    cols = spark.createDataFrame([("t", "v", 2, "cosine", 4, float(np.cos(np.radians(25))))], COLLECTION)
+    assert sorted((v.label, v.key) for v in clusters.members(clusters.cluster(segs, cols)).collect()) == [(1, 1), (1, 2), (1, 3)]
