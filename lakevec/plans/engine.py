@@ -387,6 +387,22 @@ _add("write_overwrite", _NEW)(lambda s, d: _written(s, d, "overwrite"))
 _add("write_merge", f"{_OLD} AND c_custkey <= 50 UNION ALL {_NEW}")(lambda s, d: _written(s, d, "merge"))
 
 
+def _written_whole(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """The whole customer table and then, under doubled keys, all of it again: half of the keys are there already."""
+    e = engine(spark, sf_dir, runtime.new_dir(spark, "catalog"))
+    customers = e.table("customer").select("c_custkey", "c_name", "c_acctbal")
+    changed = customers.withColumns({"c_custkey": F.col("c_custkey") * 2, "c_acctbal": F.col("c_acctbal") + 1000})
+    e.catalog.write_table(customers, "default", "default", "t", "overwrite")
+    e.catalog.write_table(changed, "default", "default", "t", mode, ["c_custkey"] if mode == "merge" else None)
+    return e.catalog.scan_table("default", "default", "t")
+
+
+_WHOLE, _CHANGED = "SELECT c_custkey, c_name, c_acctbal FROM customer", "SELECT c_custkey * 2 AS c_custkey, c_name, c_acctbal + 1000 AS c_acctbal FROM customer"
+_add("write_append_whole", f"{_WHOLE} UNION ALL {_CHANGED}")(lambda s, d: _written_whole(s, d, "append"))
+_add("write_overwrite_whole", _CHANGED)(lambda s, d: _written_whole(s, d, "overwrite"))
+_add("write_merge_whole", f"{_WHOLE} o WHERE NOT EXISTS (SELECT 1 FROM customer n WHERE n.c_custkey * 2 = o.c_custkey) UNION ALL {_CHANGED}")(lambda s, d: _written_whole(s, d, "merge"))
+
+
 def _suppliers(spark: SparkSession, sf_dir: str) -> Engine:
     e = engine(spark, sf_dir, runtime.new_dir(spark, "catalog"))
     e.execute("CREATE TABLE s (id BIGINT PRIMARY KEY, name TEXT NOT NULL, nation INT, balance DOUBLE) WITH (compression = 'zstd')")

@@ -33,6 +33,15 @@ def test_same_rows_as_sql(spark, sf, duck, name):
     assert have == rows([tuple(r[i] for i in order) for r in result.fetchall()])
 
 
+@pytest.mark.parametrize("mode", ["append", "overwrite", "merge"])
+def test_whole_tables_are_written(spark, sf, duck, mode):
+    """Into a base of all customers, all customers again under doubled keys."""
+    have = entry.queries()[f"write_{mode}_whole"](spark, sf).select("c_custkey", "c_name", "c_acctbal")
+    assert rows(have.collect()) == rows(duck.execute(entry.oracle_sql()[f"write_{mode}_whole"]).fetchall())
+    n = duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+    assert have.count() == {"append": 2 * n, "overwrite": n, "merge": 2 * n - -(-n // 2)}[mode]
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
