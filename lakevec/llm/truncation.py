@@ -27,6 +27,9 @@ _ELLIPSIS = re.compile(r"\s?(?:\.\.\.|…|\[(?:\.\.\.|…)\])\Z")
 _URL = re.compile(r"(?:https?://)?[\w-]+(?:\.[\w-]+)+/\S*\Z")
 _WORDS = re.compile(r"\w+|[^\w\s]+")
 _TAGS = re.compile(r"<[^<>]*>")
+#: Four words or more in a row, and a sentence that ends before another begins; abbreviations are shorter words.
+_PROSE = re.compile(r"(?:[^\W\d_]+[,;]? ){3,}\w+")
+_SENTENCE = re.compile(r"(?:[^\W\d_]+[,;]? ){2,}[^\W_]{4,}[.!?] +\S|[。！？]\s*\S")
 
 
 def body(text: str) -> str:
@@ -68,6 +71,21 @@ def _repeats(line: str) -> bool:
     return not words or (len(words) > 2 and max(Counter(words).values()) * 5 >= 2 * len(words)) or (len(words) < 4 and line != _TAGS.sub("", line))
 
 
+def _sentence_list(t: str, line: str) -> bool:
+    """Whether a list or indented line is of sentences: one ends in it, or the prose lines before it in its list, of which there are some, all end so."""
+    if _SENTENCE.search(line):
+        return True
+    if not _PROSE.search(line):
+        return False
+    before = []
+    for other in reversed(t.split("\n")[:-1]):
+        if not (other := other.strip()).startswith(line[0]):
+            break
+        if _PROSE.search(other):
+            before.append((other.rstrip(_CLOSERS) or other)[-1] in _TERMINAL)
+    return bool(before) and all(before)
+
+
 def ending(text: str) -> str:
     """How a text ends: complete, broken (inside a word, sentence or markup), or open (it can't be told from the end).
 
@@ -92,7 +110,14 @@ def ending(text: str) -> str:
     if line.startswith(("*", "#", "|", "!", ":", ";")):
         if line.lower().startswith("#re"):
             return COMPLETE
-        return BROKEN if line.count("''") % 2 else OPEN
+        if line.count("''") % 2:
+            return BROKEN
+        # a list of sentences is judged like other text; of other items the end doesn't tell
+        if line[0] not in "*#:;" or not _sentence_list(t, line):
+            return OPEN
+        if line.endswith(("]]", "}}", "|}", "</ref>", "&gt;", "-->", "/>")):
+            return OPEN
+        return COMPLETE if (line.rstrip(_CLOSERS) or line)[-1] in _TERMINAL else BROKEN
     if line.startswith(("—", "–", "~~~", "--", "<!--")) or (line[:1] in "(（" and line[-1:] in ")）"):
         return OPEN if line[0] in "—–" else COMPLETE
     if "°" in line and line[-1:] in "NSEWOVЗВСЮ" and "′" in line:

@@ -110,3 +110,17 @@ def test_edges(spark):
     shaped, _, result = run(spark, [(1, None, None), (2, "", "s"), (3, long, "s"), (3, long, "s")])
     assert [r.doc for r in result.collect()] == [3]
     assert {r.source: r.n_docs for r in T.rates(shaped, result).collect()} == {None: 1, "s": 3}
+
+
+@pytest.mark.parametrize("text", ["* The mill was built in 1630. It was clo", "* The mill was built here.\n* The road was bui", "Prose.\n\n: They said that it was so.\n: Others said that it nev"])
+def test_lists_of_sentences_break_like_sentences(text):
+    assert T.ending(text) == T.BROKEN
+
+
+@pytest.mark.parametrize("text", ["* The mill of the old town", "* The church of St. Mary", "* The mill was built here.\n* [[Mill]], 1834", "* The mill was built.\n* The old mill of the town\n* The road of the new to", "| The mill was built here. The road was bui"])
+def test_items_that_need_not_be_sentences_stay_open(text):
+    assert T.ending(text) == T.OPEN
+
+
+def test_whole_sentences_in_lists_are_complete():
+    assert T.ending("* The mill was built here.\n* The road was closed in 1630.") == T.COMPLETE
