@@ -23,8 +23,6 @@ LENGTH, POSTED = 8, 5
 #: Inverted files of neighbouring pivots that are kept together, vectors planned for such a bucket, and the most buckets
 #: a vector is sent to, those of its nearest pivots.
 FILES_PER_BUCKET, PER_BUCKET, MOST_BUCKETS = 64, 40_000, 3
-#: Best candidates by footrule distance that are reranked: so many, or this part of a file if it is more.
-CANDIDATES, CANDIDATE_PART = 128, 0.5
 #: Vectors handled at once in a task, cells of a block of scores, and ids planned for a cell of results.
 BLOCK, SCORES, PER_CELL = 1 << 15, 1 << 22, 1 << 17
 
@@ -251,8 +249,8 @@ def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def search_bucket(ids: np.ndarray, perm: np.ndarray, m: np.ndarray, bucket_files: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best top_k found in a bucket for each of its vectors, from min_score on: positions, positions, scores.
 
-    In each inverted file, the candidates of a vector are ranked by footrule distance; the best, all at the last one's distance
-    included, are reranked by their scores, computed in single precision and for the best few again in double.
+    In each inverted file all candidates of a vector are scored in single precision, the best few again in double. They aren't
+    ranked by footrule distance before, which would cost more and lose neighbours.
     """
     x = V.comparable(m, c.metric).astype(np.float32)
     square = (x * x).sum(axis=1)
@@ -265,8 +263,7 @@ def search_bucket(ids: np.ndarray, perm: np.ndarray, m: np.ndarray, bucket_files
         g = len(here)
         if g < 2:
             continue
-        xs, ps = x[here], perm[here]
-        keep = max(CANDIDATES, int(g * CANDIDATE_PART))
+        xs = x[here]
         step = max(1, SCORES // g)
         for at in range(0, g, step):
             q = np.arange(at, min(at + step, g))
@@ -274,10 +271,6 @@ def search_bucket(ids: np.ndarray, perm: np.ndarray, m: np.ndarray, bucket_files
             if c.metric == "l2":
                 s = -np.sqrt(np.maximum(square[here[q]][:, None] + square[here][None, :] - 2 * s, 0))
             s[np.arange(len(q)), q] = -np.inf
-            if keep < g:
-                near = footrule(ps, q)
-                cut = np.partition(near, g - keep, axis=1)[:, g - keep]
-                s[near < cut[:, None]] = -np.inf
             good = s >= least
             count = good.sum(axis=1)
             few, many = np.flatnonzero((count > 0) & (count <= spare)), np.flatnonzero(count > spare)
@@ -340,8 +333,8 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
     rows: the result of vector_rows. Metric, top_k and min_score (the least score of a pair) are those of the table in
     collections. Equal scores: the smaller id first. Vectors that are null, of another length or not finite, null ids, deleted
     ones and unknown tables take no part; an id that is listed more than once counts once. Equal vectors under different
-    ids are each other's nearest. The result is approximate: a pair is missed if the two share no inverted file or rank
-    low in footrule distance; README has the measured recall.
+    ids are each other's nearest. The result is approximate: a pair is missed if the two share no inverted file;
+    README has the measured recall.
     """
     spark = rows.sparkSession
     runtime.ship(spark)

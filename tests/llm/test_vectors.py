@@ -228,3 +228,15 @@ def test_leader_that_follows_in_another_block_takes_its_cluster_along(spark):
     segs = spark.createDataFrame(spark.sparkContext.parallelize([one, two], 2).flatMap(lambda x: x), SEGMENT)
     cols = spark.createDataFrame([("t", "v", 2, "cosine", 4, float(np.cos(np.radians(25))))], COLLECTION)
     assert sorted((v.label, v.key) for v in clusters.members(clusters.cluster(segs, cols)).collect()) == [(1, 1), (1, 2), (1, 3)]
+
+
+def test_no_scored_candidate_is_dropped():
+    """Vectors of one inverted file whose permutations agree least are each other's nearest."""
+    r = np.random.default_rng(11)
+    m = r.normal(size=(600, 16)).astype(np.float32)
+    m[300:] = m[:300] + 0.01 * r.normal(size=(300, 16)).astype(np.float32)
+    perm = np.zeros((600, 8), dtype=np.uint16)
+    perm[:300, 1:], perm[300:, 1:] = np.arange(1, 8), np.arange(11, 18)
+    c = V.Collection("t", 16, "cosine", 1, 0.9)
+    a, b, _ = neighbours.search_bucket(np.arange(600), perm, m, np.array([0]), c)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(i, (i + 300) % 600) for i in range(600)]
