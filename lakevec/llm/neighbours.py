@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,16 +16,19 @@ from lakevec import runtime
 from lakevec.llm import vectors as V
 from lakevec.llm.cftree import ward
 
-#: Vectors for which a pivot is taken, and the fewest and most pivots of a table. Pivots are a bounded sample (by a
-#: hash of the id); every vector is indexed. The broadcast pivots are at most MOST_PIVOTS x dimension numbers a table.
-PER_PIVOT, FEWEST_PIVOTS, MOST_PIVOTS = 64, 64, 4096
-#: Pivots in a vector's permutation, and the first of them in whose inverted files it is posted.
-LENGTH, POSTED = 8, 5
-#: Inverted files of neighbouring pivots that are kept together, vectors planned for such a bucket, and the most buckets
-#: a vector is sent to, those of its nearest pivots.
-FILES_PER_BUCKET, PER_BUCKET, MOST_BUCKETS = 64, 40_000, 3
-#: Vectors handled at once in a task, cells of a block of scores, and ids planned for a cell of results.
-BLOCK, SCORES, PER_CELL = 1 << 15, 1 << 22, 1 << 17
+#: Routing: vectors for which a pivot is taken, the fewest and most pivots of a level (a bounded hash sample; the broadcast
+#: pivots are at most MOST_PIVOTS x dimension numbers a table), and the nearest pivots whose buckets a vector is posted to.
+PER_ROUTE, FEWEST_PIVOTS, MOST_PIVOTS, ROUTES = 128, 64, 4096, 4
+#: Vectors planned for a bucket, pivots that a bucket has at least, and postings of a vector at a level, about.
+PER_BUCKET, PIVOTS_PER_BUCKET, SPREAD = 1 << 14, 4, 2.5
+#: The index in a bucket: vectors for which a pivot is taken, pivots in a vector's permutation, the first of them in
+#: whose inverted files it is posted, and in how many of these it looks for neighbours.
+PER_PIVOT, LENGTH, POSTED, SEARCHED = 32, 8, 5, 3
+#: Vectors of an inverted file, nearest by footrule distance, that are scored for a vector.
+CANDIDATES = 320
+#: Vectors handled at once in a task, cells of a block of scores, ids planned for a cell of results, and parts into which the
+#: followers of a vector are spread.
+BLOCK, SCORES, PER_CELL, SALTS = 1 << 15, 1 << 21, 1 << 17, 16
 
 
 def _codec():  # noqa: ANN202
@@ -126,12 +130,51 @@ def _valid(batches: Iterator[pa.RecordBatch], known: list[V.Collection]) -> Iter
 
 @dataclass(frozen=True)
 class Pivots:
-    """The pivots of a table in comparable form, and the bucket of each one's inverted file."""
+    """The pivots of a level in comparable form, and the bucket that each one's vectors go to."""
 
     points: np.ndarray
     bucket: np.ndarray
 
 
+def levels(n: int) -> list[int]:
+    """The number of buckets that every level of routing cuts a set of n vectors into, so that the last ones have about PER_BUCKET.
+
+    A level has at most MOST_PIVOTS / PIVOTS_PER_BUCKET buckets, whatever n; a larger set gets more levels instead of larger
+    buckets, so that the work for a vector grows with the logarithm of n only.
+    """
+    out, most = [], MOST_PIVOTS // PIVOTS_PER_BUCKET
+    left = n * SPREAD
+    while True:
+        k = max(1, math.ceil(left / PER_BUCKET))
+        if k <= most:
+            return [*out, k]
+        out.append(most)
+        left = left / most * SPREAD
+
+
+def _pivots(points: np.ndarray, buckets: int) -> Pivots:
+    """Groups pivots into buckets by Ward's agglomeration; a group of many is cut, so that none has more than twice the average."""
+    m = len(points)
+    label = ward(np.ones(m), points.astype(np.float64), min(buckets, m))
+    each = max(1, 2 * m // max(1, min(buckets, m)))
+    place = np.empty(m, dtype=np.int64)
+    for g in np.unique(label):
+        at = np.flatnonzero(label == g)
+        parts = -(-len(at) // each)
+        place[at] = np.arange(len(at)) * parts // len(at)
+    return Pivots(points, np.unique(label * (m + 1) + place, return_inverse=True)[1].astype(np.int64))
+
+
+def _wanted(n: float, buckets: int) -> int:
+    """The number of pivots of a level for n vectors."""
+    return int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, n // PER_ROUTE, PIVOTS_PER_BUCKET * buckets)))
+
+
+def _below(ids: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the hash of an id is in the lowest part of so much."""
+    return np.ones(len(ids), dtype=bool) if rate >= 1 else _mixed(ids) < np.uint64(rate * 2.0**64)
+
+
 def sizes(rows: DataFrame, known: list[V.Collection]) -> dict[int, int]:
     """Listed vectors of each table, repeated ones included."""
     index = {c.name: i for i, c in enumerate(known)}
@@ -140,55 +183,78 @@ def sizes(rows: DataFrame, known: list[V.Collection]) -> dict[int, int]:
 
 
 def choose_pivots(rows: DataFrame, known: list[V.Collection], n: dict[int, int]) -> dict[int, Pivots]:
-    """Pivots of each table: the vectors whose hashed id is below a rate, equal ones once."""
-    wanted = {t: min(1.0, max(FEWEST_PIVOTS, min(MOST_PIVOTS, k // PER_PIVOT)) / max(k, 1)) for t, k in n.items()}
+    """Routing pivots of each table's first level: the vectors whose hashed id is below a rate, equal ones once."""
+    first = {t: levels(k)[0] for t, k in n.items()}
+    rate = {t: _wanted(k, first[t]) / max(k, 1) for t, k in n.items()}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tab, ids, m in _valid(batches, known):
-            on = _mixed(ids) < np.uint64(min(wanted[tab], 1 - 2**-53) * 2.0**64) if wanted[tab] < 1 else np.ones(len(ids), dtype=bool)
+            on = _below(ids, rate[tab])
             packed = V.pack(m[on])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), tab), pa.int32()), pa.array(ids[on]), pa.array(packed, pa.binary())], names=["tab", "id", "vec"])
 
     got: dict[int, dict[bytes, None]] = {}
     for r in sorted(rows.mapInArrow(sample, "tab int, id long, vec binary").collect(), key=lambda r: (r["tab"], r["id"])):
         got.setdefault(r["tab"], {})[bytes(r["vec"])] = None
-    out = {}
-    for tab, packed in got.items():
-        c = known[tab]
-        points = V.comparable(V.unpack(list(packed), c.dimension), c.metric).astype(np.float32)
-        m = len(points)
-        buckets = max(-(-m // FILES_PER_BUCKET), min(m, -(-POSTED * n[tab] // PER_BUCKET)))
-        label = ward(np.ones(m), points.astype(np.float64), buckets)
-        # a group of many pivots is cut, so that no bucket has more than twice the files
-        place = np.empty(m, dtype=np.int64)
-        for g in np.unique(label):
-            at = np.flatnonzero(label == g)
-            place[at] = np.arange(len(at)) // (2 * FILES_PER_BUCKET)
-        out[tab] = Pivots(points, np.unique(label * (m + 1) + place, return_inverse=True)[1].astype(np.int32))
-    return out
+    return {tab: _pivots(_points(V.unpack(list(packed), known[tab].dimension), known[tab].metric), first[tab]) for tab, packed in got.items()}
+
 
+def _points(m: np.ndarray, metric: str) -> np.ndarray:
+    return V.comparable(m, metric).astype(np.float32)
 
-def permutations(x: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+
+def permutations(x: np.ndarray, pivots: np.ndarray, metric: str, length: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first; at equal distance the earlier pivot first."""
-    k = min(LENGTH, len(pivots))
+    k = min(length, len(pivots))
     out = np.empty((len(x), k), dtype=np.uint16)
-    for at in range(0, len(x), max(1, SCORES // len(pivots))):
-        part = slice(at, at + max(1, SCORES // len(pivots)))
-        dot = x[part].astype(np.float32) @ pivots.T
-        if metric == "l2":
-            dot = dot - 0.5 * (pivots * pivots).sum(axis=1)[None, :]
-        best = np.argpartition(-dot, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(dot), 1))
+    half = 0.5 * (pivots * pivots).sum(axis=1)[None, :] if metric == "l2" else None
+    step = max(1, SCORES // len(pivots))
+    for at in range(0, len(x), step):
+        far = x[at : at + step] @ pivots.T
+        if half is not None:
+            far -= half
+        np.negative(far, out=far)
+        best = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(far), 1))
         best.sort(axis=1)
-        order = np.argsort(-np.take_along_axis(dot, best, axis=1), axis=1, kind="stable")
-        out[part] = np.take_along_axis(best, order, axis=1)
+        order = np.argsort(np.take_along_axis(far, best, axis=1), axis=1, kind="stable")
+        out[at : at + step] = np.take_along_axis(best, order, axis=1)
     return out
 
 
+def _routed(x: np.ndarray, p: Pivots, metric: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of a level and the rows of x that go to each: those of a vector's ROUTES nearest pivots."""
+    bucket = p.bucket[permutations(x, p.points, metric, ROUTES)]
+    at_rows, at_buckets = [], []
+    for j in range(bucket.shape[1]):
+        new = ~(bucket[:, :j] == bucket[:, j : j + 1]).any(axis=1)
+        at_rows.append(np.flatnonzero(new))
+        at_buckets.append(bucket[new, j])
+    r, b = np.concatenate(at_rows), np.concatenate(at_buckets)
+    by = np.argsort(b, kind="stable")
+    if len(by):
+        for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
+            yield int(b[part[0]]), r[part]
+
+
+def _smaller(m: np.ndarray) -> np.ndarray:
+    """Vectors in half precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        half = m.astype(np.float16)
+    return half if (half.astype(np.float32) == m).all() else m
+
+
+def _batch(tab: int, bucket: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([bucket], pa.int64()), pa.array([to_block(arrays)], pa.binary())], names=["tab", "bucket", "block"])
+
+
+_POSTED = "tab int, bucket long, block binary"
+
+
 def _post(rows: DataFrame, known: list[V.Collection], shared) -> DataFrame:  # noqa: ANN001
-    """Posts every vector in the buckets of its first pivots: tab, bucket, block of (ids, permutations, vectors, copies).
+    """Posts every vector to the buckets of its nearest routing pivots: tab, bucket, block of (ids, whether others follow, vectors).
 
     Of equal vectors in a block of a task only the top_k + 1 with the smallest ids are posted: they are all that can be
-    among the nearest of anything. The others follow the smallest of them and get its result in the end.
+    among the nearest of anything. The others follow the smallest of them (see _followers) and get its result in the end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,37 +263,78 @@ def _post(rows: DataFrame, known: list[V.Collection], shared) -> DataFrame:  # n
                 continue
             c, p = known[tab], shared.value[tab]
             # ids are sorted: of equal vectors the first rows have the smallest
-            keep, follow, lead_row = _copies(m, c.top_k + 1)
-            follower, leader = ids[follow], ids[lead_row]
-            x = V.comparable(m, c.metric)
-            perm = permutations(x[keep], p.points, c.metric)
-            bucket = p.bucket[perm[:, :POSTED]]
-            at_rows, at_buckets = [], []
-            distinct = np.zeros(len(bucket), dtype=np.int64)
-            for j in range(bucket.shape[1]):
-                new = ~(bucket[:, :j] == bucket[:, j : j + 1]).any(axis=1) & (distinct < MOST_BUCKETS)
-                distinct += new
-                at_rows.append(np.flatnonzero(new))
-                at_buckets.append(bucket[new, j])
-            r, b = np.concatenate(at_rows), np.concatenate(at_buckets)
-            by = np.argsort(b, kind="stable")
-            half = m.astype(np.float16)
-            exact = bool((half.astype(np.float32) == m).all())
-            own = {row: None for row in lead_row.tolist()}
-            first_bucket = dict(zip(keep.tolist(), bucket[:, 0].tolist())) if own else {}
-            lead_bucket = np.array([first_bucket[row] for row in lead_row.tolist()], dtype=np.int64)
-            for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
-                here = keep[r[part]]
-                bk = int(b[part[0]])
-                mine = lead_bucket == bk
-                arrays = [ids[here], perm[r[part]], (half if exact else m)[here], follower[mine], leader[mine]]
-                yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([bk], pa.int32()), pa.array([to_block(arrays)], pa.binary())], names=["tab", "bucket", "block"])
-
-    return rows.mapInArrow(run, "tab int, bucket int, block binary")
+            keep, _, lead_row = _copies(m, c.top_k + 1)
+            followed = np.zeros(len(ids), dtype=bool)
+            followed[lead_row] = True
+            ids, m, followed = ids[keep], m[keep], followed[keep]
+            small = _smaller(m)
+            for bucket, r in _routed(_points(m, c.metric), p, c.metric):
+                yield _batch(tab, bucket, [ids[r], followed[r], small[r]])
+
+    return rows.mapInArrow(run, _POSTED)
+
+
+def _followers(rows: DataFrame, known: list[V.Collection]) -> DataFrame:
+    """The vectors that _post leaves to a smaller equal one of their block: tab, leader, id, spread over SALTS parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab, ids, m in _valid(batches, known):
+            _, follow, lead_row = _copies(m, known[tab].top_k + 1)
+            salt = (_mixed(ids[follow]) % np.uint64(SALTS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(follow), tab), pa.int32()), pa.array(ids[lead_row]), pa.array(ids[follow]), pa.array(salt)], names=["tab", "leader", "id", "salt"])
+
+    return rows.mapInArrow(run, "tab int, leader long, id long, salt int")
+
+
+def _split(posted: DataFrame, known: list[V.Collection], within: dict[int, tuple[float, int]]) -> DataFrame:
+    """The next level of routing: every bucket gets pivots from its own vectors, which are posted to its parts.
+
+    within: for each table the vectors that a bucket has, about, and the number of its parts. A bucket's blocks are spread over as
+    many tasks as they need, each of which gets the bucket's pivots.
+    """
+    posted = runtime.written(posted, "posted")
+    rate = {t: (_wanted(n, k) if k > 1 else 1) / max(n, 1) for t, (n, k) in within.items()}
+    parts = {t: max(1, math.ceil(n / (4 * BLOCK))) for t, (n, _) in within.items()}
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tab, bucket, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids, _, m = from_block(block)
+                on = _below(ids ^ np.int64(bucket + 1), rate[tab])
+                if on.any():
+                    yield _batch(tab, bucket, [ids[on], m[on]])
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        tab, bucket = key[0].as_py(), key[1].as_py()
+        got = [from_block(b) for b in table.column("block").to_pylist()]
+        ids, first = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
+        m = np.unique(np.concatenate([g[1].astype(np.float32) for g in got])[first], axis=0)
+        p = _pivots(_points(m, known[tab].metric), within[tab][1])
+        return pa.Table.from_batches([_batch(tab, bucket, [p.points, p.bucket])])
+
+    count = F.element_at(F.create_map(*(F.lit(x) for t, k in parts.items() for x in (t, k))), F.col("tab"))
+    pivots = posted.mapInArrow(sample, _POSTED).groupBy("tab", "bucket").applyInArrow(choose, _POSTED)
+    pivots = runtime.written(pivots, "pivots").withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1))).withColumnRenamed("block", "pivots")
+    salted = posted.withColumn("salt", F.pmod(F.xxhash64("block"), count).cast("int"))
+
+    def route(key: tuple, blocks: pa.Table, mine: pa.Table) -> pa.Table:
+        tab, bucket = key[0].as_py(), key[1].as_py()
+        out = []
+        if mine.num_rows and blocks.num_rows:
+            p = Pivots(*from_block(mine.column("pivots")[0].as_py()))
+            got = [from_block(b) for b in blocks.column("block").to_pylist()]
+            ids, followed = (np.concatenate([g[i] for g in got]) for i in range(2))
+            m = np.concatenate([g[2].astype(np.float32) for g in got])
+            small = _smaller(m)
+            out = [_batch(tab, bucket * MOST_PIVOTS + b, [ids[r], followed[r], small[r]]) for b, r in _routed(_points(m, known[tab].metric), p, known[tab].metric)]
+        return pa.Table.from_batches(out, schema=pa.schema([("tab", pa.int32()), ("bucket", pa.int64()), ("block", pa.binary())]))
+
+    by = ["tab", "bucket", "salt"]
+    return salted.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInArrow(route, _POSTED)
 
 
 def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """How near permutations are to those of some rows: LENGTH * (LENGTH + 1) less the footrule distance, halved.
+    """How near the permutations of some rows are to all: LENGTH * (LENGTH + 1) less the footrule distance, halved.
 
     A pivot that a permutation doesn't have counts as being just behind its end. The distance then is a constant less twice
     the sum of the smaller weight of each common pivot, its weight being the number of places up to the end.
@@ -236,58 +343,77 @@ def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
     local, inverse = np.unique(perm, return_inverse=True)
     inverse = inverse.reshape(perm.shape)
     # a line for each pivot, so that whole lines are gathered
-    weight = np.zeros((len(local), len(rows)), dtype=np.uint8)
+    weight = np.zeros((len(local), len(perm)), dtype=np.uint8)
     for j in range(length):
-        weight[inverse[rows, j], np.arange(len(rows))] = length - j
-    out = np.minimum(weight[inverse[:, 0]], np.uint8(length))
+        weight[inverse[:, j], np.arange(len(perm))] = length - j
+    mine = inverse[rows]
+    out = np.minimum(weight[mine[:, 0]], np.uint8(length))
     for j in range(1, length):
-        line = weight[inverse[:, j]]
+        line = weight[mine[:, j]]
         out += np.minimum(line, np.uint8(length - j), out=line)
-    return np.ascontiguousarray(out.T)
+    return out
 
 
-def search_bucket(ids: np.ndarray, perm: np.ndarray, m: np.ndarray, bucket_files: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best_in_file(x: np.ndarray, perm: np.ndarray, q: np.ndarray, metric: str, spare: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the rows q of an inverted file their best others in it: rows, others, scores in single precision.
+
+    The vectors of the file are ranked by footrule distance first, and only the CANDIDATES nearest are scored. Of a file that has no more
+    than these all are candidates, whatever their rank.
+    """
+    size = len(x)
+    ranked = size > CANDIDATES
+    square = (x * x).sum(axis=1) if metric == "l2" else None
+    step = max(1, SCORES // (CANDIDATES * x.shape[1] if ranked else size))
+    for at in range(0, len(q), step):
+        rows = q[at : at + step]
+        if ranked:
+            cand = np.argpartition(footrule(perm, rows), size - CANDIDATES, axis=1)[:, size - CANDIDATES :]
+            s = np.matmul(x[cand], x[rows][:, :, None])[:, :, 0]
+            if square is not None:
+                s = -np.sqrt(np.maximum(square[rows][:, None] + square[cand] - 2 * s, 0))
+            s[cand == rows[:, None]] = -np.inf
+        else:
+            s = x[rows] @ x.T
+            if square is not None:
+                s = -np.sqrt(np.maximum(square[rows][:, None] + square[None, :] - 2 * s, 0))
+            s[np.arange(len(rows)), rows] = -np.inf
+        top = np.argpartition(s, s.shape[1] - spare, axis=1)[:, s.shape[1] - spare :] if s.shape[1] > spare else np.tile(np.arange(s.shape[1]), (len(rows), 1))
+        value = np.take_along_axis(s, top, axis=1)
+        i, j = np.nonzero(value >= least)
+        other = cand[i, top[i, j]] if ranked else top[i, j]
+        yield rows[i], other, value[i, j]
+
+
+def search_bucket(ids: np.ndarray, m: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best top_k found in a bucket for each of its vectors, from min_score on: positions, positions, scores.
 
-    In each inverted file all candidates of a vector are scored in single precision, the best few again in double. They aren't
-    ranked by footrule distance before, which would cost more and lose neighbours.
+    The bucket's own pivots, one for PER_PIVOT vectors by hash of the id, give every vector its permutation; it is posted in the
+    inverted files of the first POSTED and looks for neighbours in those of the first SEARCHED. What is found is scored
+    again in double precision.
     """
-    x = V.comparable(m, c.metric).astype(np.float32)
-    square = (x * x).sum(axis=1)
-    found_a, found_b, found_s = [], [], []
+    n = len(ids)
+    x = _points(m, c.metric)
+    pivots = np.sort(np.argsort(_mixed(ids), kind="stable")[: max(1, n // PER_PIVOT)])
+    perm = permutations(x, x[pivots], c.metric, LENGTH)
+    posted = min(POSTED, perm.shape[1])
+    flat = perm[:, :posted].ravel()
+    order = np.argsort(flat, kind="stable")
+    member, place = order // posted, order % posted
+    edges = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
     # what is better than the last of top_k, and all kept copies of that one
     spare = 2 * c.top_k + 2
     least = c.min_score - 1e-3 * max(1.0, abs(c.min_score))
-    for file in bucket_files:
-        here = np.flatnonzero((perm[:, :POSTED] == file).any(axis=1))
-        g = len(here)
-        if g < 2:
-            continue
-        xs = x[here]
-        step = max(1, SCORES // g)
-        for at in range(0, g, step):
-            q = np.arange(at, min(at + step, g))
-            s = xs[q] @ xs.T
-            if c.metric == "l2":
-                s = -np.sqrt(np.maximum(square[here[q]][:, None] + square[here][None, :] - 2 * s, 0))
-            s[np.arange(len(q)), q] = -np.inf
-            good = s >= least
-            count = good.sum(axis=1)
-            few, many = np.flatnonzero((count > 0) & (count <= spare)), np.flatnonzero(count > spare)
-            i, j = np.nonzero(good[few])
-            i = few[i]
-            if len(many):
-                top = np.argpartition(s[many], g - spare, axis=1)[:, g - spare :]
-                i, j = np.concatenate([i, np.repeat(many, spare)]), np.concatenate([j, top.ravel()])
-            found_a.append(here[q[i]])
-            found_b.append(here[j])
-            found_s.append(s[i, j])
-    none = np.zeros(0, dtype=np.int64)
-    if not found_a:
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for f in range(len(pivots)):
+        here, q = member[edges[f] : edges[f + 1]], np.flatnonzero(place[edges[f] : edges[f + 1]] < SEARCHED)
+        if len(here) > 1 and len(q):
+            found += [(here[i], here[j], s) for i, j, s in _best_in_file(x[here], perm[here], q, c.metric, spare, least)]
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0)
-    n = len(ids)
-    pairs, first = np.unique(np.concatenate(found_a) * n + np.concatenate(found_b), return_index=True)
-    a, b, rough = pairs // n, pairs % n, np.concatenate(found_s)[first]
+    a, b, rough = (np.concatenate(z) for z in zip(*found))
+    pairs, first = np.unique(a * n + b, return_index=True)
+    a, b, rough = pairs // n, pairs % n, rough[first]
     order = np.lexsort((-rough, a))
     a, b = a[order], b[order]
     top = _place(a) < spare
@@ -333,8 +459,8 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
     rows: the result of vector_rows. Metric, top_k and min_score (the least score of a pair) are those of the table in
     collections. Equal scores: the smaller id first. Vectors that are null, of another length or not finite, null ids, deleted
     ones and unknown tables take no part; an id that is listed more than once counts once. Equal vectors under different
-    ids are each other's nearest. The result is approximate: a pair is missed if the two share no inverted file;
-    README has the measured recall.
+    ids are each other's nearest. The result is approximate: a pair is missed if the two share no inverted file that one
+    of them searches, or if many others of a large file have nearer permutations; README has the measured recall.
     """
     spark = rows.sparkSession
     runtime.ship(spark)
@@ -342,69 +468,77 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
     n = sizes(rows, known)
     shared = spark.sparkContext.broadcast(choose_pivots(rows, known, n))
     cells = max(runtime.width(spark), -(-max(n.values(), default=0) // PER_CELL))
+    plans = {t: levels(k) for t, k in n.items()}
+    posted, inside = _post(rows, known, shared), {t: k * SPREAD / plans[t][0] for t, k in n.items()}
+    for level in range(1, max(map(len, plans.values()), default=1)):
+        # a table with fewer levels keeps its buckets: they are cut into one part
+        within = {t: (inside[t], p[level] if level < len(p) else 1) for t, p in plans.items()}
+        posted = _split(posted, known, within)
+        inside = {t: k * (SPREAD if level < len(plans[t]) else 1) / within[t][1] for t, k in inside.items()}
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        tab, bucket = key[0].as_py(), key[1].as_py()
-        c, p = known[tab], shared.value[tab]
+        tab = key[0].as_py()
+        c = known[tab]
         parts = [from_block(b) for b in table.column("block").to_pylist()]
-        ids = np.concatenate([x[0] for x in parts])
-        ids, first = np.unique(ids, return_index=True)
-        perm = np.concatenate([x[1] for x in parts])[first]
+        ids, first, again = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
+        followed = np.zeros(len(ids), dtype=bool)
+        followed[again[np.concatenate([x[1] for x in parts])]] = True
         m = np.concatenate([x[2].astype(np.float32) for x in parts])[first]
-        # of equal vectors from different tasks again only the first take part
+        # of equal vectors from different blocks again only the first take part; the others get the first one's result in merge
         keep, follow, lead_row = _copies(m, c.top_k + 1)
-        # the leader that a task named may follow a smaller one itself: its followers go over to that one
+        a, b, score = search_bucket(ids[keep], m[keep], c)
+        a, b = keep[a], keep[b]
+        # the score of a vector with itself, for those that others follow
+        lead = np.union1d(lead_row, np.flatnonzero(followed))
+        own = V.exact_scores(m[lead], m[lead][:, None, :], c.metric)[:, 0] if len(lead) else np.zeros(0)
+        of = np.searchsorted(lead, lead_row)
+        columns = [(ids[a], ids[b], score), (ids[lead], followed[lead], own), (ids[follow], ids[lead_row], own[of] if len(of) else own[:0])]
+        # a follower goes to its leader's cell, as what it leads itself does
         final = ids.copy()
         final[follow] = ids[lead_row]
-        named = np.concatenate([x[4] for x in parts])
-        followers = np.concatenate([*(x[3] for x in parts), ids[follow]])
-        leaders = np.concatenate([final[np.searchsorted(ids, named)], ids[lead_row]])
-        a, b, score = search_bucket(ids[keep], perm[keep], m[keep], np.flatnonzero(p.bucket == bucket), c)
-        a, b = keep[a], keep[b]
-        self_at = np.searchsorted(ids, leaders)
-        own = V.exact_scores(m[self_at], m[self_at][:, None, :], c.metric)[:, 0] if len(leaders) else np.zeros(0)
-        a_cell = (_mixed(ids[a]) % np.uint64(cells)).astype(np.int64)
-        f_cell = (_mixed(leaders) % np.uint64(cells)).astype(np.int64)
+        by_cell = [_cells(z, cells) for z in (ids[a], final[lead], ids[lead_row])]
         out_cells, blocks = [], []
-        by = np.argsort(a_cell, kind="stable")
-        edges = np.searchsorted(a_cell[by], np.arange(cells + 1))
-        for cell in np.union1d(a_cell, f_cell).tolist():
-            at, f = by[edges[cell] : edges[cell + 1]], f_cell == cell
+        for cell in np.unique(np.concatenate([k for _, k in by_cell])).tolist():
+            arrays = []
+            for (order, at), cols in zip(by_cell, columns):
+                mine = order[np.searchsorted(at, cell) : np.searchsorted(at, cell, side="right")]
+                arrays += [col[mine] for col in cols]
             out_cells.append(cell)
-            blocks.append(to_block([ids[a[at]], ids[b[at]], score[at], followers[f], leaders[f], own[f]]))
+            blocks.append(to_block(arrays))
         return pa.table({"tab": pa.array([tab] * len(blocks), pa.int32()), "cell": pa.array(out_cells, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        c = known[key[0].as_py()]
+        """The best of all buckets, as pairs by cell; and for vectors that others follow (cell -1) who the nearest ones are, itself included."""
+        tab = key[0].as_py()
+        c = known[tab]
         parts = [from_block(x) for x in table.column("block").to_pylist()]
-        a, b, score, followers, leaders, own = (np.concatenate([x[i] for x in parts]) for i in range(6))
+        a, b, score, lead, followed, own, follower, leader, same = (np.concatenate([x[i] for x in parts]) for i in range(9))
         once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1]
         a, b, score = best_of(a[once], b[once], b[once], score[once], c)
-        if len(followers):
-            followers, first = np.unique(followers, return_index=True)
-            leaders, own = leaders[first], own[first]
-            start, end = np.searchsorted(a, leaders), np.searchsorted(a, leaders, side="right")
-            extra = np.repeat(np.arange(len(leaders)), end - start)
-            at = np.arange(len(extra)) - np.repeat(np.cumsum(end - start) - (end - start), end - start) + np.repeat(start, end - start)
-            fa = np.concatenate([followers, followers[extra]])
-            fb = np.concatenate([leaders, b[at]])
-            fs = np.concatenate([own, score[at]])
-            other = fa != fb
-            fa, fb, fs = best_of(fa[other], fb[other], fb[other], fs[other], c)
-            a, b = np.concatenate([a, fa]), np.concatenate([b, fb])
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        to = (_mixed(low) % np.uint64(cells)).astype(np.int64)
-        order = np.lexsort((high, low, to))
-        low, high, to = low[order], high[order], to[order]
-        edges = np.flatnonzero(np.diff(to)) + 1
-        groups = np.split(np.arange(len(to)), edges) if len(to) else []
-        return pa.table(
-            {
-                "tab": pa.array([key[0].as_py()] * len(groups), pa.int32()),
-                "cell": pa.array([int(to[g[0]]) for g in groups], pa.int32()),
-                "block": pa.array([to_block([low[g], high[g]]) for g in groups], pa.binary()),
-            }
-        )
+        if len(follower):
+            follower, first = np.unique(follower, return_index=True)
+            fa, fb, fs = _with_leader(follower, leader[first], same[first], a, b, score)
+            fa, fb, fs = best_of(fa, fb, fb, fs, c)
+            new = ~np.isin(fa, a)
+            order = np.argsort(np.concatenate([a, fa[new]]), kind="stable")
+            a, b, score = (np.concatenate(z)[order] for z in ((a, fa[new]), (b, fb[new]), (score, fs[new])))
+        lead, first = np.unique(lead, return_index=True)
+        lead, own = lead[followed[first]], own[first][followed[first]]
+        out = [(cell, block, None, None) for cell, block in _pair_blocks(a, b, cells)]
+        start, end = np.searchsorted(a, lead), np.searchsorted(a, lead, side="right")
+        for v, s, i, j in zip(lead.tolist(), own.tolist(), start.tolist(), end.tolist()):
+            ranked = sorted([*zip((-score[i:j]).tolist(), b[i:j].tolist()), *([(-s, v)] if s >= c.min_score else [])])
+            out.append((-1, None, v, [w for _, w in ranked]))
+        cell, block, leader_, nearest = zip(*out) if out else ((), (), (), ())
+        return pa.table({"tab": pa.array([tab] * len(out), pa.int32()), "cell": pa.array(cell, pa.int32()), "block": pa.array(block, pa.binary()), "leader": pa.array(leader_, pa.int64()), "nearest": pa.array(nearest, pa.list_(pa.int64()))})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tab, a, b = (batch.column(i).to_numpy() for i in range(3))
+            for t in np.unique(tab):
+                on = tab == t
+                for cell, block in _pair_blocks(a[on], b[on], cells):
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([cell], pa.int32()), pa.array([block], pa.binary())], names=["tab", "cell", "block"])
 
     def once(key: tuple, table: pa.Table) -> pa.Table:
         parts = [from_block(x) for x in table.column("block").to_pylist()]
@@ -412,5 +546,43 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
         return pa.table({"tab": pa.array(np.full(len(pairs), key[0].as_py()), pa.int32()), "id_a": pa.array(pairs[:, 0]), "id_b": pa.array(pairs[:, 1])})
 
     shape = "tab int, cell int, block binary"
-    found = _post(rows, known, shared).groupBy("tab", "bucket").applyInArrow(search, shape)
-    return found.groupBy("tab", "cell").applyInArrow(merge, shape).groupBy("tab", "cell").applyInArrow(once, "tab int, id_a long, id_b long")
+    # a task for each bucket: their number grows with the vectors, and no task gets more than a few
+    tasks = max(runtime.width(spark), sum(math.prod(p) for p in plans.values()))
+    found = posted.repartition(tasks, "tab", "bucket").groupBy("tab", "bucket").applyInArrow(search, shape)
+    merged = runtime.written(found.groupBy("tab", "cell").applyInArrow(merge, f"{shape}, leader long, nearest array<long>"), "nearest")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    leaders = merged.filter("cell = -1").select("tab", "leader", "nearest", salts)
+    most = F.element_at(F.array(*(F.lit(c.top_k) for c in known)), F.col("tab") + 1) if known else F.lit(0)
+    others = F.slice(F.filter("nearest", lambda v: v != F.col("id")), F.lit(1), most)
+    copies = _followers(rows, known).join(leaders, ["tab", "leader", "salt"]).select("tab", "id", F.explode(others).alias("other"))
+    pairs = merged.filter("cell >= 0").select("tab", "cell", "block").unionByName(copies.mapInArrow(pack, shape))
+    return pairs.groupBy("tab", "cell").applyInArrow(once, "tab int, id_a long, id_b long")
+
+
+def _cells(ids: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ids by cell, and the cells in that order."""
+    cell = (_mixed(ids) % np.uint64(cells)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    return order, cell[order]
+
+
+def _with_leader(follower: np.ndarray, leader: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What followers have: their leader, with its own score, and what it has, but not themselves. a is sorted."""
+    start, end = np.searchsorted(a, leader), np.searchsorted(a, leader, side="right")
+    extra = np.repeat(np.arange(len(leader)), end - start)
+    at = np.arange(len(extra)) - np.repeat(np.cumsum(end - start) - (end - start), end - start) + np.repeat(start, end - start)
+    fa, fb = np.concatenate([follower, follower[extra]]), np.concatenate([leader, b[at]])
+    fs = np.concatenate([own, score[at]])
+    other = fa != fb
+    return fa[other], fb[other], fs[other]
+
+
+def _pair_blocks(a: np.ndarray, b: np.ndarray, cells: int) -> Iterator[tuple[int, bytes]]:
+    """Pairs, the smaller id first, as sorted blocks by cell."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    to = (_mixed(low) % np.uint64(cells)).astype(np.int64)
+    order = np.lexsort((high, low, to))
+    low, high, to = low[order], high[order], to[order]
+    if len(to):
+        for g in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1):
+            yield int(to[g[0]]), to_block([low[g], high[g]])

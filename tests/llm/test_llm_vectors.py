@@ -56,6 +56,7 @@ def test_footrule():
     r = np.random.default_rng(2)
     perm = np.array([r.permutation(20)[:8] for _ in range(40)], dtype=np.uint16)
     near = neighbours.footrule(perm, np.arange(40))
+    assert (neighbours.footrule(perm, np.array([5, 3])) == near[[5, 3]]).all()
     place = lambda p, x: list(p).index(x) if x in p else 8
     for i in range(0, 40, 7):
         for j in range(40):
@@ -230,13 +231,88 @@ def test_leader_that_follows_in_another_block_takes_its_cluster_along(spark):
     assert sorted((v.label, v.key) for v in clusters.members(clusters.cluster(segs, cols)).collect()) == [(1, 1), (1, 2), (1, 3)]
 
 
-def test_no_scored_candidate_is_dropped():
-    """Vectors of one inverted file whose permutations agree least are each other's nearest."""
-    r = np.random.default_rng(11)
-    m = r.normal(size=(600, 16)).astype(np.float32)
-    m[300:] = m[:300] + 0.01 * r.normal(size=(300, 16)).astype(np.float32)
-    perm = np.zeros((600, 8), dtype=np.uint16)
-    perm[:300, 1:], perm[300:, 1:] = np.arange(1, 8), np.arange(11, 18)
-    c = V.Collection("t", 16, "cosine", 1, 0.9)
-    a, b, _ = neighbours.search_bucket(np.arange(600), perm, m, np.array([0]), c)
-    assert sorted(zip(a.tolist(), b.tolist())) == [(i, (i + 300) % 600) for i in range(600)]
+def clouds(n=6000, dim=16, groups=40, seed=11):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(groups, dim))
+    m = centres[r.integers(0, groups, n)] + r.normal(size=(n, dim)) * 0.25
+    return np.arange(n) * 7 + 3, m.astype(np.float16).astype(np.float32)
+
+
+def recall(keys, m, found, metric, top, least):
+    """Of the top others from least on of the vectors with an id divisible by 20, the part that was found."""
+    x = V.comparable(m, metric).astype(float)
+    hit = n = 0
+    for i in np.flatnonzero(keys % 20 == 0):
+        s = V.scores(x[i : i + 1], x, metric)[0].round(9)
+        s[i] = -np.inf
+        for j in np.lexsort((keys, -s))[:top]:
+            if s[j] >= least:
+                n += 1
+                hit += (min(keys[i], keys[j]), max(keys[i], keys[j])) in found
+    assert n > 100
+    return hit / n
+
+
+@pytest.mark.parametrize(("metric", "least"), [("cosine", 0.7), ("l2", -1.5), ("inner", 10.0)])
+def test_candidates_are_ranked_by_footrule_before_they_are_scored(monkeypatch, metric, least):
+    """Most inverted files have more vectors than are scored."""
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 80)
+    monkeypatch.setattr(neighbours, "CANDIDATES", 160)
+    ranked, real = [], neighbours.footrule
+    monkeypatch.setattr(neighbours, "footrule", lambda perm, rows: ranked.append(len(perm)) or real(perm, rows))
+    keys, m = clouds()
+    a, b, _ = neighbours.search_bucket(keys, m, V.Collection("t", 16, metric, 5, least))
+    assert len(set(ranked)) > 10 and len(ranked) > 0.5 * len(keys) / 80
+    found = {(min(x, y), max(x, y)) for x, y in zip(keys[a].tolist(), keys[b].tolist())}
+    assert recall(keys, m, found, metric, 5, least) >= 0.9
+
+
+def test_scored_candidates_of_a_vector_are_bounded(monkeypatch):
+    """Twice as many vectors in the same space: no more scores for each."""
+    monkeypatch.setattr(neighbours, "CANDIDATES", 64)
+    for n in (3000, 6000):
+        keys, m = clouds(n, groups=2)
+        scored, real = [0], neighbours._best_in_file
+
+        def count(x, perm, q, *rest):
+            scored[0] += len(q) * min(len(x), 64)
+            return real(x, perm, q, *rest)
+
+        monkeypatch.setattr(neighbours, "_best_in_file", count)
+        neighbours.search_bucket(keys, m, V.Collection("t", 16, "cosine", 5, 0.7))
+        monkeypatch.setattr(neighbours, "_best_in_file", real)
+        assert scored[0] <= neighbours.SEARCHED * 64 * n
+
+
+def test_levels_grow_instead_of_buckets():
+    for n in (0, 1, 10**5, 10**7, 10**9, 10**12):
+        parts = neighbours.levels(n)
+        assert max(parts) <= neighbours.MOST_PIVOTS // neighbours.PIVOTS_PER_BUCKET
+        assert n * neighbours.SPREAD ** len(parts) / np.prod(parts, dtype=float) <= neighbours.PER_BUCKET + 1
+    assert [len(neighbours.levels(n)) for n in (10**5, 10**8, 10**11)] == [1, 2, 3]
+
+
+def test_two_levels_of_routing(spark, monkeypatch):
+    """Small buckets and few pivots, so that a level is too small: the second one takes its pivots from each bucket."""
+    monkeypatch.setattr(neighbours, "PER_BUCKET", 600)
+    monkeypatch.setattr(neighbours, "MOST_PIVOTS", 32)
+    keys, m = clouds(4000)
+    assert len(neighbours.levels(4000)) >= 2
+    segs, _ = tables(spark, keys, m, np.zeros(len(m), dtype=bool))
+    cols = spark.createDataFrame([("t", "v", 16, "cosine", 4, 0.7)], COLLECTION)
+    found = {(r.id_a, r.id_b) for r in neighbours.nearest_pairs(neighbours.vector_rows(segs, None, None), cols).collect()}
+    assert recall(keys, m, found, "cosine", 4, 0.7) >= 0.9
+
+
+def test_a_hot_vector_is_not_gathered(spark, monkeypatch):
+    """A third of all ids have one vector, in every block more than top_k + 1 of them; each gets its smallest copies."""
+    monkeypatch.setattr(neighbours, "BLOCK", 140)
+    keys, m, _ = data(5)
+    m[: len(m) // 3] = m[0]
+    segs, _ = tables(spark, keys, m, np.zeros(len(m), dtype=bool))
+    cols = spark.createDataFrame([("t", "v", 16, "cosine", 4, 0.9)], COLLECTION)
+    found = {(r.id_a, r.id_b) for r in neighbours.nearest_pairs(neighbours.vector_rows(segs, None, None), cols).collect()}
+    same = sorted(int(v) for v in keys[(m == m[0]).all(axis=1)])
+    for v in same:
+        for b in [u for u in same if u != v][:4]:
+            assert (min(v, b), max(v, b)) in found
