@@ -84,6 +84,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a written() table that nothing reads any more."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        drop_dir(df.sparkSession, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a dataset directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
