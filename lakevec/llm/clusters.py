@@ -21,10 +21,11 @@ TASK_LEAVES, MERGED_LEAVES, FAN_IN = 512, 2048, 16
 #: Vectors for which a region is planned, and the most regions of a table: the broadcast centres are at most
 #: REGIONS x dimension numbers a table.
 PER_REGION, REGIONS = 1500, 2048
-#: Regions in which a representative is compared.
-PROBES = 4
-#: Vectors handled at once in a task, representatives of a region compared in one task, and scores computed at once.
-BLOCK, REGION_LIMIT, SCORES = 1 << 15, 1 << 14, 1 << 21
+#: Vectors handled at once in a task, leaders of a region compared in one task, representatives in a block of the exact
+#: comparison, and scores computed at once.
+BLOCK, REGION_LIMIT, SUPER, SCORES = 1 << 15, 1 << 13, 1 << 15, 1 << 21
+#: How far a score in single precision may be off, relative to 1 or the score: what is nearer to min_score is scored in double.
+ROUGH = 1e-4
 
 _SUMMARY = "tab int, part int, n binary, ls binary, ss binary, threshold double"
 
@@ -62,21 +63,32 @@ def _live(batches: Iterator[pa.RecordBatch], known: list[V.Collection]) -> Itera
             yield tab, np.concatenate([k for k, _ in got]), np.concatenate([m for _, m in got])
 
 
-def local_clusters(keys: np.ndarray, x: np.ndarray, metric: str, min_score: float) -> np.ndarray:
+def similar(a: np.ndarray, b: np.ndarray, x: np.ndarray, m: np.ndarray, c: V.Collection) -> np.ndarray:
+    """Whether rows a and b of a matrix m score at least min_score. x: comparable(m) in single precision; close calls are made in double."""
+    near = V.scores(x[a], x[b], c.metric)
+    slack = ROUGH * max(1.0, abs(c.min_score)) * (max(1.0, float((x[a] * x[a]).sum(axis=1).max(initial=0))) if c.metric != "cosine" else 1.0)
+    out = near >= c.min_score + slack
+    i, j = np.nonzero(np.abs(near - c.min_score) < slack)
+    for at in range(0, len(i), BLOCK):
+        part = slice(at, at + BLOCK)
+        out[i[part], j[part]] = V.exact_scores(m[a[i[part]]], m[b[j[part]]][:, None, :], c.metric)[:, 0] >= c.min_score
+    return out
+
+
+def local_clusters(keys: np.ndarray, m: np.ndarray, c: V.Collection) -> np.ndarray:
     """For each vector the smallest key of its cluster among these: those that score at least min_score with a first one.
 
     Sets of vectors that all are similar to each other, and to no others, come out whole, whichever comes first. A vector
     belongs to the cluster of the smallest key that takes it. Each cluster is found by one row of
     scores against what is still open, so that a cluster of most vectors costs little.
     """
-    order = np.argsort(keys, kind="stable")
     label = np.full(len(keys), -1, dtype=np.int64)
-    wide = x.astype(np.float64)
+    x = V.comparable(m, c.metric).astype(np.float32)
     done = np.zeros(len(keys), dtype=bool)
-    open_ = order
+    open_ = np.argsort(keys, kind="stable")
     while len(open_):
         head = open_[: max(16, min(256, SCORES // len(open_)))]
-        near = V.scores(wide[head], wide[open_], metric) >= min_score
+        near = similar(head, open_, x, m, c)
         for i, at in enumerate(head):
             if not done[at]:
                 take = open_[near[i]]
@@ -147,21 +159,20 @@ def _arrow_summary() -> pa.Schema:
     return pa.schema([("tab", pa.int32()), ("part", pa.int32()), ("n", pa.binary()), ("ls", pa.binary()), ("ss", pa.binary()), ("threshold", pa.float64())])
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest centres of each vector, nearest first."""
-    k = min(k, len(centres))
-    out = np.empty((len(x), k), dtype=np.int32)
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector, and an upper bound of its distance."""
+    near, far = np.empty(len(x), dtype=np.int32), np.empty(len(x))
     square = (centres * centres).sum(axis=1)[None, :]
     step = max(1, SCORES // len(centres))
     for start in range(0, len(x), step):
-        d = square - 2 * (x[start : start + step].astype(np.float32) @ centres.T)
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        out[start : start + step] = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1), axis=1)
-    return out
+        part = slice(start, start + step)
+        near[part] = (square - 2 * (x[part].astype(np.float32) @ centres.T)).argmin(axis=1)
+        far[part] = np.sqrt(((x[part].astype(np.float64) - centres[near[part]]) ** 2).sum(axis=1))
+    return near, far * (1 + 1e-9)
 
 
 def assign(segments: DataFrame, known: list[V.Collection], centres: dict[int, np.ndarray]) -> DataFrame:
-    """The assignment pass over all live vectors: tab, key, leader, and of leaders the packed vector and nearest regions.
+    """The assignment pass over all live vectors: tab, key, leader, and of leaders the packed vector, the nearest region and the distance from its centre.
 
     In a task, the vectors of a block that fall into one region are clustered, and only the smallest key of each
     cluster, its leader, goes on. So of a hot group of similar vectors each task sends one. Written as a table.
@@ -170,57 +181,147 @@ def assign(segments: DataFrame, known: list[V.Collection], centres: dict[int, np
     shared = spark.sparkContext.broadcast(centres)  # bounded by REGIONS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("tab", pa.int32()), ("key", pa.int64()), ("leader", pa.int64()), ("vec", pa.binary()), ("regions", pa.list_(pa.int32()))])
         for tab, keys, m in _live(batches, known):
             c = known[tab]
             keys, first = np.unique(keys, return_index=True)  # a segment may be present twice
             m = m[first]
-            x = V.comparable(m, c.metric)
-            near = _nearest(x, shared.value[tab], PROBES)
+            near, far = _nearest(V.comparable(m, c.metric), shared.value[tab])
             leader = np.empty(len(keys), dtype=np.int64)
-            by_region = np.argsort(near[:, 0], kind="stable")
-            for at in np.split(by_region, np.flatnonzero(np.diff(near[by_region, 0])) + 1):
-                leader[at] = local_clusters(keys[at], x[at], c.metric, c.min_score)
+            by_region = np.argsort(near, kind="stable")
+            for at in np.split(by_region, np.flatnonzero(np.diff(near[by_region])) + 1):
+                leader[at] = local_clusters(keys[at], m[at], c)
             lead = leader == keys
-            packed = V.pack(m[lead])
             vec = np.full(len(keys), None, dtype=object)
-            vec[lead] = packed
-            ways: list = [None] * len(keys)
-            for i, w in zip(np.flatnonzero(lead).tolist(), near[lead].tolist()):
-                ways[i] = w
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), tab), pa.int32()), pa.array(keys), pa.array(leader), pa.array(vec, pa.binary()), pa.array(ways, pa.list_(pa.int32()))], schema=kinds)
+            vec[lead] = V.pack(m[lead])
+            columns = [pa.array(np.full(len(keys), tab), pa.int32()), pa.array(keys), pa.array(leader), pa.array(vec, pa.binary()), pa.array(near), pa.array(far)]
+            yield pa.RecordBatch.from_arrays(columns, names=["tab", "key", "leader", "vec", "region", "far"])
 
     needed = segments.select("table_name", "keys", "deleted", "vectors")
-    return runtime.written(needed.mapInArrow(run, "tab int, key long, leader long, vec binary, regions array<int>"), "assigned")
+    return runtime.written(needed.mapInArrow(run, "tab int, key long, leader long, vec binary, region int, far double"), "assigned")
 
 
-def _leader_links(assigned: DataFrame, known: list[V.Collection]) -> DataFrame:
-    """Pairs (tab, key, root) of leaders and the smallest leader of their cluster in one of their regions.
+def _representatives(assigned: DataFrame, known: list[V.Collection]) -> DataFrame:
+    """Leaders with the smallest leader of their cluster in their region (root), and the vectors of those that are one: the representatives.
 
-    A region of more than REGION_LIMIT leaders is cut into blocks, and each pair of blocks is compared in a task, so
-    that no task gets more than two blocks and nothing is left out.
+    A region of more than REGION_LIMIT leaders is cut by hash, so that no task gets more than about that many. What this leaves apart
+    comes together in the exact comparison.
     """
     leaders = assigned.filter("vec IS NOT NULL").dropDuplicates(["tab", "key"])
-    probes = leaders.select("tab", "key", "vec", F.explode("regions").alias("region"))
-    counts = probes.groupBy("tab", "region").agg(F.count(F.lit(1)).alias("n")).select("tab", "region", F.ceil(F.col("n") / REGION_LIMIT).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    # at most REGIONS rows a table
+    parts = leaders.groupBy("tab", "region").agg(F.ceil(F.count(F.lit(1)) / REGION_LIMIT).cast("int").alias("parts"))
+    cut = leaders.select("tab", "region", "key", "vec", "far").join(F.broadcast(parts), ["tab", "region"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        c = known[key[0].as_py()]
+        keys, vec = table.column("key").to_numpy(), table.column("vec").to_pylist()
+        root = local_clusters(keys, V.unpack(vec, c.dimension), c)
+        vec = [v if a == b else None for v, a, b in zip(vec, root.tolist(), keys.tolist())]
+        return pa.table({"tab": table.column("tab"), "key": table.column("key"), "root": pa.array(root), "region": table.column("region"), "far": table.column("far"), "vec": pa.array(vec, pa.binary())})
+
+    found = cut.select("tab", "key", "region", "far", "vec", "part").groupBy("tab", "region", "part").applyInArrow(compare, "tab int, key long, root long, region int, far double, vec binary")
+    return runtime.written(found, "representatives")
+
+
+@dataclass(frozen=True)
+class Reach:
+    """Which regions of a table can have similar vectors: [i, j] is False only if the triangle inequality proves that none are."""
+
+    regions: dict[int, int]
+    may: np.ndarray
+
+
+def _reach(c: V.Collection, centres: np.ndarray, regions: list[int], radius: np.ndarray, norm: np.ndarray) -> Reach:
+    """By the distance of the centres, the greatest distance of a vector from its centre and that of two similar vectors.
+
+    For a dot product the latter follows from the greatest norms of the two regions.
+    """
+    x = centres[regions].astype(np.float64)
+    apart = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (x @ x.T), 0))
+    if c.metric == "l2":
+        most = np.full_like(apart, -c.min_score)
+    elif c.metric == "cosine":
+        most = np.full_like(apart, np.sqrt(max(2 - 2 * c.min_score, 0)))
+    else:
+        most = norm[:, None] ** 2 + norm[None, :] ** 2 - 2 * c.min_score
+        most = np.where(most < 0, -np.inf, np.sqrt(np.maximum(most, 0)))
+    return Reach({r: i for i, r in enumerate(regions)}, apart <= (radius[:, None] + radius[None, :] + most) * (1 + 1e-6) + 1e-6)
+
+
+def _smallest_similar(keys: np.ndarray, m: np.ndarray, region: np.ndarray, a: np.ndarray, b: np.ndarray, c: V.Collection, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and the smallest key among the rows of b that are similar to each, of those that have one other than themselves."""
+    x = V.comparable(m, c.metric).astype(np.float32)
+    at = np.array([reach.regions[r] for r in region.tolist()])
+    best = np.full(len(keys), np.iinfo(np.int64).max)
+    b = b[np.argsort(at[b], kind="stable")]
+    for r in np.unique(at[a]).tolist():
+        mine, others = a[at[a] == r], b[reach.may[r, at[b]]]
+        step = max(1, SCORES // max(1, len(mine)))
+        for start in range(0, len(others), step):
+            part = others[start : start + step]
+            i, j = np.nonzero(similar(mine, part, x, m, c))
+            i, j = mine[i], part[j]
+            other = i != j
+            np.minimum.at(best, i[other], keys[j[other]])
+    on = a[best[a] < np.iinfo(np.int64).max]
+    return on, best[on]
+
+
+def _links(found: DataFrame, known: list[V.Collection], centres: dict[int, np.ndarray]) -> DataFrame:
+    """Pairs (tab, key, root) of similar representatives of all regions: none is lost between representatives of different sets.
+
+    The representatives of a table are cut into blocks of about SUPER along their regions, and each pair of blocks is
+    compared in a task, but for the pairs of regions that the triangle inequality excludes. A task gives every representative at most one link,
+    to the smallest similar key of a block; under one block's smallest key its whole set comes together.
+    """
+    reps = found.filter("vec IS NOT NULL")
+
+    def norms(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for tab, vec in parts:
+            t, v = tab.to_numpy(), vec.to_pylist()
+            out = np.zeros(len(t))
+            for k in np.unique(t):
+                on = np.flatnonzero(t == k)
+                out[on] = np.sqrt((V.comparable(V.unpack([v[i] for i in on], known[k].dimension), known[k].metric).astype(np.float64) ** 2).sum(axis=1))
+            yield pa.array(out)
+
+    # at most REGIONS rows a table
+    length = F.arrow_udf(norms, "double")("tab", "vec") if any(c.metric == "inner" for c in known) else F.lit(1.0)
+    stats = reps.withColumn("norm", length).groupBy("tab", "region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).orderBy("tab", "region").collect()
+    reach, blocks, total = {}, [], {}
+    for tab in sorted({r["tab"] for r in stats}):
+        mine = [r for r in stats if r["tab"] == tab]
+        reach[tab] = _reach(known[tab], centres[tab], [r["region"] for r in mine], np.array([r["radius"] for r in mine]), np.array([r["norm"] for r in mine]))
+        first, held = 0, 0
+        for r in mine:
+            parts = -(-r["n"] // SUPER)
+            if parts > 1 or held + r["n"] > SUPER:
+                first, held = first + (held > 0), 0
+            blocks.append((tab, r["region"], first, parts))
+            first, held = (first + parts, 0) if parts > 1 else (first, held + r["n"])
+        total[tab] = first + (held > 0)
+    spark = found.sparkSession
+    at = spark.createDataFrame(blocks, "tab int, region int, first int, parts int")
+    counts = spark.createDataFrame(list(total.items()), "tab int, blocks int")
+    shared = spark.sparkContext.broadcast(reach)  # REGIONS x REGIONS flags a table
+    own = (F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int")
     spread = (
-        probes.join(F.broadcast(counts), ["tab", "region"])  # at most REGIONS rows a table
+        reps.join(F.broadcast(at), ["tab", "region"])
+        .join(F.broadcast(counts), "tab")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("tab", "key", "vec", "region", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+        .select("tab", "key", "vec", "region", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     )
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        c = known[key[0].as_py()]
-        keys = table.column("key").to_numpy()
-        x = V.comparable(V.unpack(table.column("vec").to_pylist(), c.dimension), c.metric)
-        root = local_clusters(keys, x, c.metric, c.min_score)
-        on = root != keys
-        return pa.table({"tab": pa.array(np.full(on.sum(), key[0].as_py()), pa.int32()), "key": pa.array(keys[on]), "root": pa.array(root[on])})
+        tab, a, b = (k.as_py() for k in key)
+        c = known[tab]
+        keys, block = table.column("key").to_numpy(), table.column("own").to_numpy()
+        m = V.unpack(table.column("vec").to_pylist(), c.dimension)
+        on, root = _smallest_similar(keys, m, table.column("region").to_numpy(), np.flatnonzero(block == a), np.flatnonzero(block == b), c, shared.value[tab])
+        return pa.table({"tab": pa.array(np.full(len(on), tab), pa.int32()), "key": pa.array(keys[on]), "root": pa.array(root)})
 
-    links = spread.groupBy("tab", "region", "a", "b").applyInArrow(compare, "tab int, key long, root long")
-    return runtime.written(links.distinct(), "links")
+    tasks = max(runtime.width(spark), sum(k * (k + 1) // 2 for k in total.values()))
+    return spread.repartition(tasks, "tab", "a", "b").groupBy("tab", "a", "b").applyInArrow(compare, "tab int, key long, root long")
 
 
 def _repeated_leaders(assigned: DataFrame) -> DataFrame:
@@ -230,17 +331,24 @@ def _repeated_leaders(assigned: DataFrame) -> DataFrame:
 
 
 def _smallest_labels(links: DataFrame) -> DataFrame:
-    """For every key in links the smallest key connected with it: tab, key, label. Labels spread along links until none changes."""
+    """For every key in links the smallest key connected with it: tab, key, label.
+
+    In each round a key takes the smallest label beside it, and then the label of its label, so that the rounds grow with the logarithm of
+    the longest way. The rounds before the last are deleted.
+    """
     both = runtime.written(links.select("tab", "key", "root").union(links.select("tab", F.col("root").alias("key"), F.col("key").alias("root"))).distinct(), "both-ways")
     labels = runtime.written(both.groupBy("tab", "key").agg(F.least(F.col("key"), F.min("root")).alias("label")), "labels")
     while True:
         seen = both.join(labels.select("tab", F.col("key").alias("root"), F.col("label").alias("theirs")), ["tab", "root"])
         best = seen.groupBy("tab", "key").agg(F.min("theirs").alias("theirs"))
-        step = labels.join(best, ["tab", "key"]).select("tab", "key", F.least("label", "theirs").alias("label"), (F.col("theirs") < F.col("label")).alias("changed"))
-        step = runtime.written(step, "labels")
-        labels = step.select("tab", "key", "label")
+        near = labels.join(best, ["tab", "key"]).select("tab", "key", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
+        jump = labels.select("tab", F.col("key").alias("label"), F.col("label").alias("further"))
+        step = runtime.written(near.join(jump, ["tab", "label"], "left").select("tab", "key", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("changed")), "labels")
+        runtime.forget(labels)
+        labels = step
         if not step.filter("changed").limit(1).count():
-            return labels
+            runtime.forget(both)
+            return labels.select("tab", "key", "label")
 
 
 def cluster(segments: DataFrame, collections: DataFrame) -> Clusters:
@@ -248,18 +356,23 @@ def cluster(segments: DataFrame, collections: DataFrame) -> Clusters:
 
     segments: rows of vector_segments, collections: those of vector_collections (fixed size), whose metric and min_score
     hold. Two vectors are similar from min_score on. Sets that are similar throughout and don't overlap come out
-    exactly; in others a vector follows the connected smallest key. Deleted vectors, vectors that
+    exactly, whatever regions their vectors are in; in others a vector follows the connected smallest key. Deleted vectors, vectors that
     aren't finite or have no key, segments of unknown tables and repeated segments don't count.
     """
     runtime.ship(segments.sparkSession)
     known = V.collections(collections)
     centres = region_centres(segments, known)
     assigned = assign(segments, known, centres)
-    labels = _smallest_labels(_leader_links(assigned, known).union(_repeated_leaders(assigned)).distinct())
-    members = assigned.select("tab", "key", "leader").distinct()
-    joined = members.join(labels.select("tab", F.col("key").alias("leader"), "label"), ["tab", "leader"], "left")
+    found = _representatives(assigned, known)
+    roots = found.select("tab", "key", "root")
+    repeated = _repeated_leaders(assigned)
+    # links between leaders become links between their roots
+    by_root = lambda c: roots.select("tab", F.col("key").alias(c), F.col("root").alias(f"{c}_root"))
+    repeated = repeated.join(by_root("key"), ["tab", "key"]).join(by_root("root"), ["tab", "root"]).select("tab", F.col("key_root").alias("key"), F.col("root_root").alias("root")).filter("key <> root")
+    labels = _smallest_labels(_links(found, known, centres).union(repeated))
+    named = roots.join(labels.select("tab", F.col("key").alias("root"), "label"), ["tab", "root"], "left").select("tab", F.col("key").alias("leader"), F.coalesce("label", "root").alias("label"))
     # a key of a repeated segment may have a leader in each block
-    once = joined.groupBy("tab", "key").agg(F.min(F.coalesce("label", "leader")).alias("label"))
+    once = assigned.select("tab", "key", "leader").join(named, ["tab", "leader"]).groupBy("tab", "key").agg(F.min("label").alias("label"))
     return Clusters(known, runtime.written(once, "clustered"))
 
 

@@ -100,6 +100,51 @@ def score(a, b, metric="cosine"):
     return V.scores(V.comparable(a, metric).astype(float), V.comparable(b, metric).astype(float), metric).round(9)
 
 
+def pairs_on(r, n, dim, cosine):
+    """n pairs of unit vectors, all in random directions, of just so much cosine or a little more."""
+    a = r.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.normal(size=(n, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = cosine + 0.004
+    return np.stack([a, c * a + np.sqrt(1 - c * c) * b], axis=1).reshape(-1, dim).astype(np.float32)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner"])
+def test_no_pair_is_lost_between_regions(spark, monkeypatch, metric):
+    """Pairs at cosine 0.7 in 200 regions, in several blocks of the exact comparison; their two vectors often have different regions."""
+    monkeypatch.setattr(clusters, "PER_REGION", 40)
+    monkeypatch.setattr(clusters, "SUPER", 1500)
+    dim, n = 64, 4000
+    m = pairs_on(np.random.default_rng(3), n, dim, 0.7)
+    keys = np.random.default_rng(4).permutation(len(m))
+    least = {"cosine": 0.7, "inner": 0.7, "l2": -float(np.sqrt(2 - 2 * 0.7))}[metric]
+    segs = [(s, "t", metric, m[at : at + 500].ravel().tolist(), keys[at : at + 500].tolist(), None, "x") for s, at in enumerate(range(0, len(m), 500))]
+    known = [V.Collection("t", dim, metric, 4, least)]
+    df = spark.createDataFrame(segs, SEGMENT).repartition(4)
+    centres = clusters.region_centres(df, known)
+    assert len(centres[0]) > 190
+    near = clusters._nearest(m, centres[0])[0].reshape(-1, 2)
+    assert (near[:, 0] != near[:, 1]).mean() > 0.5
+    found = clusters.cluster(df, spark.createDataFrame([("t", "v", dim, metric, 4, least)], COLLECTION))
+    got = {(r.label, r.key) for r in clusters.members(found).collect()}
+    assert got == {(min(p), int(k)) for p in keys.reshape(-1, 2) for k in p}
+
+
+def test_regions_out_of_reach_are_not_compared():
+    centres = np.array([[0.0, 0.0], [10.0, 0.0], [11.0, 0.0]], dtype=np.float32)
+    far = clusters._reach(V.Collection("t", 2, "l2", 1, -1.0), centres, [0, 1, 2], np.array([1.0, 1.0, 1.0]), np.zeros(3))
+    assert far.may.tolist() == [[True, False, False], [False, True, True], [False, True, True]]
+    dot = clusters._reach(V.Collection("t", 2, "inner", 1, 50.0), centres, [0, 1, 2], np.array([1.0, 1.0, 1.0]), np.array([1.0, 11.0, 12.0]))
+    assert not dot.may[0, 0] and not dot.may[0, 2] and dot.may[1, 2]
+
+
+def test_labels_of_a_long_chain(spark):
+    links = spark.createDataFrame([(0, i + 1, i) for i in range(300)] + [(1, 7, 3)], "tab int, key long, root long")
+    assert {(r.tab, r.key, r.label) for r in clusters._smallest_labels(links).collect()} == {(0, i, 0) for i in range(301)} | {(1, 7, 3), (1, 3, 3)}
+
+
 @pytest.fixture(scope="module")
 def case():
     return data()
