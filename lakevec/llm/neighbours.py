@@ -18,14 +18,16 @@ from lakevec.llm.cftree import ward
 
 #: Routing: vectors for which a pivot is taken, the fewest and most pivots of a level (a bounded hash sample; the broadcast
 #: pivots are at most MOST_PIVOTS x dimension numbers a table), and the nearest pivots whose buckets a vector is posted to.
-PER_ROUTE, FEWEST_PIVOTS, MOST_PIVOTS, ROUTES = 128, 64, 4096, 4
+PER_ROUTE, FEWEST_PIVOTS, MOST_PIVOTS, ROUTES = 128, 64, 4096, 3
 #: Vectors planned for a bucket, pivots that a bucket has at least, and postings of a vector at a level, about.
 PER_BUCKET, PIVOTS_PER_BUCKET, SPREAD = 1 << 14, 4, 2.5
 #: The index in a bucket: vectors for which a pivot is taken, pivots in a vector's permutation, the first of them in
 #: whose inverted files it is posted, and in how many of these it looks for neighbours.
-PER_PIVOT, LENGTH, POSTED, SEARCHED = 32, 8, 5, 3
+PER_PIVOT, LENGTH, POSTED, SEARCHED = 32, 8, 6, 3
 #: Vectors of an inverted file, nearest by footrule distance, that are scored for a vector.
-CANDIDATES = 320
+CANDIDATES = 512
+#: How far a score in single precision may be off, relative to 1 or the score.
+ROUGH = 1e-4
 #: Vectors handled at once in a task, cells of a block of scores, ids planned for a cell of results, and parts into which the
 #: followers of a vector are spread.
 BLOCK, SCORES, PER_CELL, SALTS = 1 << 15, 1 << 21, 1 << 17, 16
@@ -214,8 +216,16 @@ def permutations(x: np.ndarray, pivots: np.ndarray, metric: str, length: int) ->
         if half is not None:
             far -= half
         np.negative(far, out=far)
-        best = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(far), 1))
-        best.sort(axis=1)
+        if k < len(pivots):
+            # whole lines of values are partitioned faster than places; ties at the end are told apart below
+            near = far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+            tied = np.flatnonzero(near.sum(axis=1) > k)
+            near[tied] = False
+            for i in tied.tolist():
+                near[i, np.argsort(far[i], kind="stable")[:k]] = True
+            best = np.nonzero(near)[1].reshape(-1, k)
+        else:
+            best = np.tile(np.arange(k), (len(far), 1))
         order = np.argsort(np.take_along_axis(far, best, axis=1), axis=1, kind="stable")
         out[at : at + step] = np.take_along_axis(best, order, axis=1)
     return out
@@ -340,10 +350,11 @@ def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
     the sum of the smaller weight of each common pivot, its weight being the number of places up to the end.
     """
     length = perm.shape[1]
-    local, inverse = np.unique(perm, return_inverse=True)
-    inverse = inverse.reshape(perm.shape)
+    there = np.zeros(int(perm.max()) + 1, dtype=np.int64)
+    there[perm] = 1
+    inverse = (np.cumsum(there) - 1)[perm]
     # a line for each pivot, so that whole lines are gathered
-    weight = np.zeros((len(local), len(perm)), dtype=np.uint8)
+    weight = np.zeros((int(there.sum()), len(perm)), dtype=np.uint8)
     for j in range(length):
         weight[inverse[:, j], np.arange(len(perm))] = length - j
     mine = inverse[rows]
@@ -354,7 +365,7 @@ def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best_in_file(x: np.ndarray, perm: np.ndarray, q: np.ndarray, metric: str, spare: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _best_in_file(x: np.ndarray, perm: np.ndarray, q: np.ndarray, metric: str, top_k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For the rows q of an inverted file their best others in it: rows, others, scores in single precision.
 
     The vectors of the file are ranked by footrule distance first, and only the CANDIDATES nearest are scored. Of a file that has no more
@@ -362,6 +373,8 @@ def _best_in_file(x: np.ndarray, perm: np.ndarray, q: np.ndarray, metric: str, s
     """
     size = len(x)
     ranked = size > CANDIDATES
+    # the last of top_k, all kept copies of it, and what single precision can't tell from it
+    spare = 2 * top_k + 2
     square = (x * x).sum(axis=1) if metric == "l2" else None
     step = max(1, SCORES // (CANDIDATES * x.shape[1] if ranked else size))
     for at in range(0, len(q), step):
@@ -377,11 +390,17 @@ def _best_in_file(x: np.ndarray, perm: np.ndarray, q: np.ndarray, metric: str, s
             if square is not None:
                 s = -np.sqrt(np.maximum(square[rows][:, None] + square[None, :] - 2 * s, 0))
             s[np.arange(len(rows)), rows] = -np.inf
-        top = np.argpartition(s, s.shape[1] - spare, axis=1)[:, s.shape[1] - spare :] if s.shape[1] > spare else np.tile(np.arange(s.shape[1]), (len(rows), 1))
-        value = np.take_along_axis(s, top, axis=1)
-        i, j = np.nonzero(value >= least)
-        other = cand[i, top[i, j]] if ranked else top[i, j]
-        yield rows[i], other, value[i, j]
+        good = s >= least
+        count = good.sum(axis=1)
+        few, many = count <= spare, np.flatnonzero(count > spare)
+        good[many] = False
+        i, j = np.nonzero(good) if few.any() else (many[:0], many[:0])
+        if len(many):
+            value = s[many]
+            last = np.partition(value, s.shape[1] - top_k, axis=1)[:, s.shape[1] - top_k] if top_k else np.full(len(many), np.inf)
+            i2, j2 = np.nonzero(value >= (last - ROUGH * np.maximum(1, np.abs(last)))[:, None])
+            i, j = np.concatenate([i, many[i2]]), np.concatenate([j, j2])
+        yield rows[i], cand[i, j] if ranked else j, s[i, j]
 
 
 def search_bucket(ids: np.ndarray, m: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -400,14 +419,12 @@ def search_bucket(ids: np.ndarray, m: np.ndarray, c: V.Collection) -> tuple[np.n
     order = np.argsort(flat, kind="stable")
     member, place = order // posted, order % posted
     edges = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
-    # what is better than the last of top_k, and all kept copies of that one
-    spare = 2 * c.top_k + 2
-    least = c.min_score - 1e-3 * max(1.0, abs(c.min_score))
+    least = c.min_score - ROUGH * max(1.0, abs(c.min_score))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for f in range(len(pivots)):
         here, q = member[edges[f] : edges[f + 1]], np.flatnonzero(place[edges[f] : edges[f + 1]] < SEARCHED)
         if len(here) > 1 and len(q):
-            found += [(here[i], here[j], s) for i, j, s in _best_in_file(x[here], perm[here], q, c.metric, spare, least)]
+            found += [(here[i], here[j], s) for i, j, s in _best_in_file(x[here], perm[here], q, c.metric, c.top_k, least)]
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0)
@@ -416,7 +433,11 @@ def search_bucket(ids: np.ndarray, m: np.ndarray, c: V.Collection) -> tuple[np.n
     a, b, rough = pairs // n, pairs % n, rough[first]
     order = np.lexsort((-rough, a))
     a, b = a[order], b[order]
-    top = _place(a) < spare
+    rough, place = rough[order], _place(a)
+    # the score at the last of top_k of each, or the lowest it has
+    last = np.full(n, -np.inf)
+    last[a[place == c.top_k - 1]] = rough[place == c.top_k - 1]
+    top = rough >= (last - ROUGH * np.maximum(1, np.abs(last, where=np.isfinite(last), out=np.ones(n))))[a]
     a, b = a[top], b[top]
     score = np.empty(len(a))
     for at in range(0, len(a), 1 << 15):
