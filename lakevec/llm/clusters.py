@@ -26,6 +26,8 @@ PER_REGION, REGIONS = 1500, 2048
 BLOCK, REGION_LIMIT, SUPER, SCORES = 1 << 15, 1 << 13, 1 << 15, 1 << 21
 #: How far a score in single precision may be off, relative to 1 or the score: what is nearer to min_score is scored in double.
 ROUGH = 1e-4
+#: Representatives that are compared with others at once.
+ROWS = 512
 
 _SUMMARY = "tab int, part int, n binary, ls binary, ss binary, threshold double"
 
@@ -247,21 +249,45 @@ def _reach(c: V.Collection, centres: np.ndarray, regions: list[int], radius: np.
     return Reach({r: i for i, r in enumerate(regions)}, apart <= (radius[:, None] + radius[None, :] + most) * (1 + 1e-6) + 1e-6)
 
 
+def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, half: np.ndarray | None, m: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows a and b that score at least min_score: single precision finds what may, double what does."""
+    q = x[a] @ x[b].T
+    if half is None:
+        least = c.min_score
+    else:  # the distance by dot product and half squares
+        q -= half[a][:, None]
+        q -= half[b][None, :]
+        least = -0.5 * c.min_score * c.min_score
+    slack = ROUGH * max(1.0, abs(least), float((x[a] * x[a]).sum(axis=1).max(initial=0)))
+    i, j = np.nonzero(q >= np.float32(least - slack))
+    sure = q[i, j] >= least + slack
+    doubt = np.flatnonzero(~sure)
+    for at in range(0, len(doubt), BLOCK):
+        d = doubt[at : at + BLOCK]
+        sure[d] = V.exact_scores(m[a[i[d]]], m[b[j[d]]][:, None, :], c.metric)[:, 0] >= c.min_score
+    return a[i[sure]], b[j[sure]]
+
+
 def _smallest_similar(keys: np.ndarray, m: np.ndarray, region: np.ndarray, a: np.ndarray, b: np.ndarray, c: V.Collection, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and the smallest key among the rows of b that are similar to each, of those that have one other than themselves."""
+    """Rows of a and the smallest other key among the rows of b that are similar to each, of those that have one. b is a, or shares no row with it."""
     x = V.comparable(m, c.metric).astype(np.float32)
-    at = np.array([reach.regions[r] for r in region.tolist()])
+    half = 0.5 * (x * x).sum(axis=1) if c.metric == "l2" else None
+    at = np.array([reach.regions[r] for r in region.tolist()], dtype=np.int64)
     best = np.full(len(keys), np.iinfo(np.int64).max)
-    b = b[np.argsort(at[b], kind="stable")]
-    for r in np.unique(at[a]).tolist():
-        mine, others = a[at[a] == r], b[reach.may[r, at[b]]]
-        step = max(1, SCORES // max(1, len(mine)))
-        for start in range(0, len(others), step):
-            part = others[start : start + step]
-            i, j = np.nonzero(similar(mine, part, x, m, c))
-            i, j = mine[i], part[j]
-            other = i != j
-            np.minimum.at(best, i[other], keys[j[other]])
+    same = len(a) == len(b) and (a == b).all()
+    a, b = (rows[np.argsort(at[rows], kind="stable")] for rows in (a, b))
+    edges = [0, *(np.flatnonzero(np.diff(at[a])) + 1).tolist(), len(a)]
+    for first, last in zip(edges, edges[1:]):
+        for begin in range(first, last, ROWS):
+            mine = a[begin : min(begin + ROWS, last)]
+            others = b[begin:] if same else b  # of a block with itself each pair once
+            others = others[reach.may[at[mine[0]], at[others]]]
+            for start in range(0, len(others), SCORES // (8 * ROWS)):
+                i, j = _close(mine, others[start : start + SCORES // (8 * ROWS)], x, half, m, c)
+                other = i != j
+                np.minimum.at(best, i[other], keys[j[other]])
+                if same:
+                    np.minimum.at(best, j[other], keys[i[other]])
     on = a[best[a] < np.iinfo(np.int64).max]
     return on, best[on]
 
@@ -291,19 +317,18 @@ def _links(found: DataFrame, known: list[V.Collection], centres: dict[int, np.nd
     for tab in sorted({r["tab"] for r in stats}):
         mine = [r for r in stats if r["tab"] == tab]
         reach[tab] = _reach(known[tab], centres[tab], [r["region"] for r in mine], np.array([r["radius"] for r in mine]), np.array([r["norm"] for r in mine]))
-        first, held = 0, 0
+        n = sum(r["n"] for r in mine)
+        total[tab] = -(-n // SUPER)
+        before = 0
         for r in mine:
-            parts = -(-r["n"] // SUPER)
-            if parts > 1 or held + r["n"] > SUPER:
-                first, held = first + (held > 0), 0
-            blocks.append((tab, r["region"], first, parts))
-            first, held = (first + parts, 0) if parts > 1 else (first, held + r["n"])
-        total[tab] = first + (held > 0)
+            blocks.append((tab, r["region"], before, r["n"], -(-n // total[tab])))
+            before += r["n"]
     spark = found.sparkSession
-    at = spark.createDataFrame(blocks, "tab int, region int, first int, parts int")
+    at = spark.createDataFrame(blocks, "tab int, region int, before long, n long, size long")
     counts = spark.createDataFrame(list(total.items()), "tab int, blocks int")
     shared = spark.sparkContext.broadcast(reach)  # REGIONS x REGIONS flags a table
-    own = (F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int")
+    # nearly equal blocks along the regions; a region that lies across a cut is divided by hash
+    own = F.floor((F.col("before") + F.pmod(F.xxhash64("key"), F.col("n"))) / F.col("size")).cast("int")
     spread = (
         reps.join(F.broadcast(at), ["tab", "region"])
         .join(F.broadcast(counts), "tab")
