@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,18 +94,21 @@ def _as(rows: DataFrame, schema: T.StructType) -> DataFrame:
 def _touched(rows: DataFrame, hit: Column) -> tuple[list[str], int]:
     """Files with rows that hit, and the number of these rows. Only metadata comes to the driver, a row a file."""
     found = rows.withColumn("__lv_file", F.col("_metadata.file_path")).filter(hit).groupBy("__lv_file").agg(F.count(F.lit(1)).alias("n")).collect()
-    return [r["__lv_file"] for r in found], sum(r["n"] for r in found)
+    return [unquote(r["__lv_file"]) for r in found], sum(r["n"] for r in found)
 
 
 def _rewrite(catalog: Catalog, table: str, files: Sequence[str], new: DataFrame) -> None:
     """Replaces files of a table by a new version of their rows; all other files stay as they are."""
     entry = catalog.get_table(table)
-    touched = set(files)
+    touched = set(map(_plain, files))
+    folders = {f.rsplit("/", 1)[0] for f in touched}
     paths: list[str] = []
     for p in entry["paths"]:
-        inside = [p] if p.endswith(".parquet") and p in touched else catalog.files.parquet_files(p)
-        mine = [f for f in inside if _plain(f) in {_plain(t) for t in touched}]
-        paths += [p] if not mine else [f for f in inside if f not in mine]
+        plain = _plain(p).rstrip("/")
+        if plain in touched:
+            continue
+        # only directories with touched files are listed
+        paths += [f for f in catalog.files.parquet_files(p) if _plain(f) not in touched] if plain in folders else [p]
     catalog.set_paths(table, [*paths, catalog.write_rows(entry, new)])
 
 

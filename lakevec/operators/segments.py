@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakevec import errors
@@ -74,12 +74,23 @@ class SegmentStore:
             df = df.filter(where)
         return df.select(*columns) if columns else df
 
+    def _offsets(self, table: str) -> DataFrame:
+        """For every file of a table's segments the number of rows in the files before it in its segment: one row a file, from the footers."""
+        files = [f for _, n in self.list(table) for f in self.files.parquet_files(self._path(table, n))]
+        rows = self.spark.read.parquet(*files).select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n")) if files else None
+        if rows is None:
+            return self.spark.createDataFrame([], "of string, before long")
+        in_segment = Window.partitionBy(F.regexp_extract("file", r"/segment=(\d+)/", 1)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(F.col("file").alias("of"), F.coalesce(F.sum("n").over(in_segment), F.lit(0)).alias("before"))
+
     def scan(self, table: str, columns: Sequence[str] | None = None, where: Column | None = None, row_ids: bool = False) -> DataFrame:
-        """The rows of all segments, with their row ids if asked for (each segment written as one file has exact places)."""
+        """The rows of all segments, with their row ids if asked for: segment and place, counted through the segment's files in order of name."""
         df = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
         names = [c for c in (columns or df.columns) if c != "segment"]
         if row_ids:
-            df = df.withColumn("row_id", encode_row_id("segment", F.col("_metadata.row_index")))
+            placed = df.withColumns({"__lv_file": F.col("_metadata.file_path"), "__lv_at": F.col("_metadata.row_index")})
+            # a row a file: metadata
+            df = placed.join(F.broadcast(self._offsets(table)), F.col("__lv_file") == F.col("of")).withColumn("row_id", encode_row_id("segment", F.col("before") + F.col("__lv_at")))
         if where is not None:
             df = df.filter(where)
         return df.select(*names, *(["row_id"] if row_ids else []))
@@ -97,6 +108,17 @@ class SegmentStore:
         self.files.delete(self._path(table, segment))
 
 
+    def search(self, table: str, vector: str, query: Sequence[float], metric: str, k: int, columns: Sequence[str] | None = None) -> DataFrame:
+        """The k rows that score highest, with score and row_id, equal scores in order of row_id: late materialisation.
+
+        The first scan reads the vectors and row ids only; the other columns are fetched for the k rows found.
+        """
+        from lakevec.operators.vector_search import search_flat
+
+        best = search_flat(self.scan(table, [vector], row_ids=True), query, metric, k, "row_id", vector).select("row_id", "score")
+        return fetch_by_row_id(self.scan(table, columns, row_ids=True), best)
+
+
 def fetch_by_row_id(df: DataFrame, row_ids: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Late materialisation: the wide rows of a few row ids, by semi-join."""
-    return df.join(row_ids.select(row_id), row_id, "left_semi")
+    """The wide rows of a few row ids, with the other columns of row_ids, by a join that broadcasts these where they are few."""
+    return df.join(row_ids, row_id)

@@ -42,11 +42,12 @@ def grouped_stats(df: DataFrame, by: Sequence[str], columns: Sequence[str] | Non
 def merge_stats(stats: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
     """Statistics of parts merged per column. Numbers of distinct values are lost, since parts may share values.
 
-    numeric: the columns whose least and greatest values are compared as numbers, not as text.
+    numeric: the columns whose least and greatest values are compared as numbers, not as text; whole numbers exactly.
     """
     number = F.col("column").isin(list(numeric)) if numeric else F.lit(False)
     low, high = F.col("min_value"), F.col("max_value")
-    as_number = lambda c: F.when(number, c.try_cast("double"))
+    # ordered as doubles, and equal doubles as whole numbers where both are; a number isn't compared through text
+    as_number = lambda c: F.when(number, F.struct(c.try_cast("double"), c.try_cast("decimal(38,0)")))
     return stats.groupBy("column").agg(
         F.coalesce(F.min_by(low, as_number(low)), F.min(low)).alias("min_value"),
         F.coalesce(F.max_by(high, as_number(high)), F.max(high)).alias("max_value"),

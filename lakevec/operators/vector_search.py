@@ -45,7 +45,8 @@ def search_similar(df: DataFrame, query: Sequence[float], metric: str, k: int, f
 def search_lsh(df: DataFrame, query: Sequence[float], metric: str, k: int, key: str = "key", vector: str = "vector", tables: int = 8, bucket_length: float = 2.0) -> DataFrame:
     """An approximate search_flat for cosine and l2: candidates from hash tables of random projections, ranked by exact score.
 
-    If the buckets of the query hold fewer than k rows, the exact search runs instead, so that k rows come out.
+    If the buckets of the query hold fewer than k rows, the exact search runs instead, so that k rows come out. What was found comes to
+    the driver for that: at most 4 * k rows.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -61,9 +62,10 @@ def search_lsh(df: DataFrame, query: Sequence[float], metric: str, k: int, key:
     point = Vectors.dense([x / length for x in query] if m == "cosine" else list(map(float, query)))
     model = BucketedRandomProjectionLSH(inputCol="__lv_v", outputCol="__lv_h", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(rows.limit(1))
     near = model.approxNearestNeighbors(rows, point, 4 * k, distCol="__lv_d").drop("__lv_v", "__lv_h", "__lv_d")
-    if near.count() < k:
+    found = near.collect()
+    if len(found) < k:
         return search_flat(df, query, m, k, key, vector)
-    return search_flat(near, query, m, k, key, vector)
+    return search_flat(df.sparkSession.createDataFrame(found, near.schema), query, m, k, key, vector)
 
 
 class VectorStore:

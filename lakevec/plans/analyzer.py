@@ -34,10 +34,20 @@ class Scope:
     def __init__(self, schema: T.StructType, names: tuple[str, ...]):
         self.fields = {f.name: f for f in schema}
         self.names = names
+        self._typed: dict[str, Typed] = {}
+
+    @classmethod
+    def of(cls, columns: dict[str, Typed]) -> Scope:
+        """The columns of an intermediate result, by name, with the types that they are known to have."""
+        s = cls(T.StructType([]), ())
+        s._typed = {n: Typed(F.col(f"`{n}`"), t.type, name=n) for n, t in columns.items()}
+        return s
 
     def resolve(self, ref: A.ColumnRef) -> Typed:
         if ref.table is not None and ref.table not in self.names:
             raise errors.TableNotFound(f"there is no table {ref.table} here", ref.at)
+        if ref.name in self._typed:
+            return self._typed[ref.name]
         f = self.fields.get(ref.name)
         if f is None:
             raise errors.ColumnNotFound(f"there is no column {ref.name}", ref.at)
@@ -235,7 +245,7 @@ class Analyzer:
         if not types.numeric(t.type):
             raise errors.TypeMismatch(f"{e.name} needs numbers, not {t.type}", e.at)
         if e.name == "avg":
-            return Typed(F.avg(t.column), types.DOUBLE)
+            return Typed(F.try_divide(F.sum_distinct(t.column.cast("double")), F.count_distinct(t.column)) if e.distinct else F.avg(t.column), types.DOUBLE)
         total = F.sum_distinct(t.column) if e.distinct else F.sum(t.column)
         whole = t.type.kind in ("INTEGER", "BIGINT")
         return Typed(total if whole else total.cast(types.to_spark(t.type)), types.BIGINT if whole else t.type)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakevec import errors, types
 from lakevec.plans import ast as A
-from lakevec.plans.analyzer import Scope, analyze, has_aggregate, predicate
+from lakevec.plans.analyzer import Scope, Typed, analyze, has_aggregate, predicate
+from lakevec.plans.parser import AGGREGATES
 
 #: The direction in which a metric's nearest vectors come first.
 NEAREST = {"cosine": False, "inner": False, "l2": True}
@@ -79,12 +81,13 @@ def plan(df: DataFrame, s: A.Select) -> DataFrame:
     nothing. With DISTINCT or grouping the keys must be outputs, since they are sorted after.
     """
     scope = Scope(df.schema, tuple(n for n in (s.table, s.alias) if n))
+    grouping = bool(s.group) or s.having is not None or any(i.expr is not None and has_aggregate(i.expr) for i in s.items)
     out = outputs(s, scope)
     if s.where is not None:
         if has_aggregate(s.where):
             raise errors.Unsupported("WHERE can't have an aggregate")
         df = df.filter(predicate(s.where, scope))
-    if s.group or s.having is not None or any(has_aggregate(e) for _, _, e in out):
+    if grouping:
         return _grouped(df, s, scope, out)
     if s.distinct:
         return _page(_sort_outputs(df.select(*(c.alias(n) for n, c, _ in out)).distinct(), s, out), s)
@@ -124,6 +127,18 @@ def _same(a: A.Expr | None, b: A.Expr) -> bool:
     return True
 
 
+def rebuilt(e: A.Expr, make: Callable[[A.Expr], A.Expr]) -> A.Expr:
+    """e with make() of each expression in it."""
+    parts = {}
+    for f in fields(e):
+        x = getattr(e, f.name)
+        if isinstance(x, A.Expr):
+            parts[f.name] = make(x)
+        elif isinstance(x, tuple) and x and all(isinstance(i, A.Expr) for i in x):
+            parts[f.name] = tuple(map(make, x))
+    return replace(e, **parts) if parts else e
+
+
 def _sort_outputs(df: DataFrame, s: A.Select, out: list[tuple[str, Column, A.Expr | None]]) -> DataFrame:
     keys = []
     for k in s.order:
@@ -137,27 +152,40 @@ def _sort_outputs(df: DataFrame, s: A.Select, out: list[tuple[str, Column, A.Exp
 
 
 def _grouped(df: DataFrame, s: A.Select, scope: Scope, out: list[tuple[str, Column, A.Expr | None]]) -> DataFrame:
-    """Grouping: outputs are group keys or aggregates; HAVING filters groups."""
-    for n, _, e in out:
-        if not has_aggregate(e) and not any(_same(e, g) for g in s.group):
-            raise errors.Unsupported(f"{n} is neither grouped nor an aggregate")
-    keys = [analyze(g, scope).column.alias(f"__g{i}") for i, g in enumerate(s.group)]
-    aggregates = [(f"__a{i}", c) for i, (_, c, e) in enumerate(out) if has_aggregate(e)]
-    having = predicate(s.having, scope).alias("__having") if s.having is not None else None
-    if having is not None and not has_aggregate(s.having):
-        names = {g.name for g in s.group if isinstance(g, A.ColumnRef)}
-        if not isinstance(s.having, A.Binary) or not names:
-            raise errors.Unsupported("HAVING needs an aggregate")
-        having = F.first(predicate(s.having, scope)).alias("__having")
-    columns = [c.alias(n) for n, c in aggregates] + ([having] if having is not None else [])
-    grouped = df.groupBy(*keys).agg(*(columns or [F.count(F.lit(1)).alias("__n")]))
+    """Grouping: outputs and HAVING see group keys and aggregates only.
+
+    Aggregates are computed once each beside the keys; what is made of them, and HAVING, comes after. A column outside an
+    aggregate must be part of a group key.
+    """
+    keys = [(g, f"__g{i}", analyze(g, scope)) for i, g in enumerate(s.group)]
+    found: list[tuple[A.Expr, str, Typed]] = []
+
+    def after(e: A.Expr) -> A.Expr:
+        """e with group keys and aggregates replaced by the columns that hold them."""
+        for g, name, _ in keys:
+            if _same(e, g):
+                return A.ColumnRef(None, name)
+        if isinstance(e, A.Call) and has_aggregate(e) and e.name in AGGREGATES:
+            if any(map(has_aggregate, e.args)):
+                raise errors.Unsupported("an aggregate can't have an aggregate")
+            for x, name, _ in found:
+                if _same(e, x):
+                    return A.ColumnRef(None, name)
+            found.append((e, f"__a{len(found)}", analyze(e, scope)))
+            return A.ColumnRef(None, found[-1][1])
+        if isinstance(e, A.ColumnRef):
+            scope.resolve(e)
+            raise errors.Unsupported(f"{e.name} is neither grouped nor in an aggregate")
+        return rebuilt(e, after)
+
+    made = [(n, after(e)) for n, _, e in out]
+    having = after(s.having) if s.having is not None else None
+    columns = [t.column.alias(name) for _, name, t in found]
+    grouped = df.groupBy(*(t.column.alias(name) for _, name, t in keys)).agg(*(columns or [F.count(F.lit(1)).alias("__n")]))
+    inside = Scope.of({name: t for _, name, t in [*keys, *found]})
     if having is not None:
-        grouped = grouped.filter("__having")
-    place = {i: f"__a{i}" for i, (_, _, e) in enumerate(out) if has_aggregate(e)}
-    for i, (_, _, e) in enumerate(out):
-        if i not in place:
-            place[i] = next(f"__g{j}" for j, g in enumerate(s.group) if _same(e, g))
-    result = grouped.select(*(F.col(place[i]).alias(n) for i, (n, _, _) in enumerate(out)))
+        grouped = grouped.filter(predicate(having, inside))
+    result = grouped.select(*(analyze(e, inside).column.alias(n) for n, e in made))
     if s.distinct:
         result = result.distinct()
     return _page(_sort_outputs(result, s, out), s)

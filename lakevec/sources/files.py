@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: Schemes of stores without an atomic rename.
+OBJECT_STORES = ("s3", "s3a", "gs", "abfs", "abfss", "wasb", "wasbs")
+
 
 class Files:
     """The files of a session."""
@@ -45,6 +49,8 @@ class Files:
         """Writes a file that must not exist yet; False if it does. This is the compare-and-swap of a commit."""
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
+        if fs.getScheme() in OBJECT_STORES:
+            return self._put(fs, p, text)
         done = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{id(text)}.tmp")
         stream = fs.create(done, True)
         stream.write(bytearray(text.encode()))
@@ -54,6 +60,21 @@ class Files:
             return False
         return True
 
+    def _put(self, fs, p, text: str) -> bool:  # noqa: ANN001
+        """A conditional put: the object store itself refuses to write over an object. A rename there is a copy and could overwrite."""
+        builder = fs.createFile(p).overwrite(False)
+        if fs.getScheme().startswith("s3"):
+            builder = builder.must("fs.s3a.create.conditional", True)  # a store or client without it is an error
+        try:
+            stream = builder.build()
+            stream.write(bytearray(text.encode()))
+            stream.close()
+        except Py4JJavaError as e:
+            if any(x in str(e.java_exception) for x in ("FileAlreadyExists", "PreconditionFailed", "412")):
+                return False
+            raise
+        return True
+
     def _link(self, fs, source, target) -> bool:  # noqa: ANN001
         """Renames without overwriting, so that of two writers one fails."""
         if fs.getScheme() == "file":

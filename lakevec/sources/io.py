@@ -156,12 +156,17 @@ def _lines(spark: SparkSession, path: str, schema: T.StructType, header: bool) -
     vector_last = bool(n) and types.from_spark(schema[-1]).kind == "VECTOR"
     lines = spark.read.text(path).filter(F.trim("value") != "")
     if header:
-        names = spark.read.text(path).filter(F.trim("value") != "").first()
+        names = lines.first()
         found = [x.strip() for x in names[0].split(",")] if names else []
         if names and found != schema.names:
             raise errors.SchemaMismatch(f"the header has {found}, the table {schema.names}")
-        if names:
-            lines = lines.filter(F.col("value") != names[0])
+        # the first line of each file that isn't blank, found where its file begins; equal lines further on are data
+        where = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+        where = where.filter(F.trim("value") != "")
+        first = where.groupBy("file").agg(F.min(F.struct("block", "place")).alias("at")).select(F.col("file").alias("of"), "at.block", "at.place")
+        head = F.broadcast(first.withColumnsRenamed({"block": "at_block", "place": "at_place"}))  # a row a file
+        same = (F.col("file") == F.col("of")) & (F.col("block") == F.col("at_block")) & (F.col("place") == F.col("at_place"))
+        lines = where.join(head, same, "left_anti").select("value")
     parts = F.split("value", ",", n if vector_last else -1)
     checked = F.when(F.size(parts) == n, parts).otherwise(F.raise_error(F.concat(F.lit(f"a line hasn't {n} fields: "), F.col("value"))).cast("array<string>"))
     cells = lines.select(checked.alias("p"))

@@ -49,15 +49,20 @@ def present(catalog: Catalog, table: str, deleted: Column) -> DataFrame:
 
 
 def search_stream(vectors: DataFrame, query: Sequence[float], metric: str, k: int, catalog: Catalog, table: str, checkpoint: str, key: str = "key", vector: str = "vector") -> StreamingQuery:
-    """Keeps the k best vectors of a stream in a table: those of each micro-batch are merged with the ones kept."""
+    """Keeps the k best vectors of a stream in a table: those of each micro-batch are merged with the ones kept.
+
+    The newest vector of a key counts; one that leaves the best by a worse vector doesn't bring back what was dropped before. Keys
+    are unique in a micro-batch.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
         best = search_flat(batch.select(key, vector), query, metric, k, key, vector)
         if not catalog.table_exists(table):
             catalog.create_table(table, best.schema, primary_key=[key])
         with catalog.begin():
-            kept = catalog.read(table).select(*best.columns)
-            both = best.unionByName(kept).dropDuplicates([key])
+            # a kept vector whose key comes again is replaced by the new one
+            kept = catalog.read(table).select(*best.columns).join(batch.select(key), key, "left_anti").select(*best.columns)
+            both = best.unionByName(kept)
             catalog.overwrite(table, both.orderBy(F.desc("score"), F.asc(key)).limit(k))
 
     return vectors.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
