@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANK, _DELETE = "__lv_rank", "__lv_delete"
+_RANK = "__lv_rank"
 
 
 def _free(df: DataFrame, name: str) -> str:
@@ -39,21 +39,22 @@ def apply_changes(
     deleted: Column,
     base: DataFrame | None = None,
     tie: Sequence[str] = (),
+    keep_deletes: bool = False,
 ) -> DataFrame:
     """The present state of a table after a change feed, whatever the order and number of deliveries.
 
     changes: rows with the key columns, the order columns (log position) and any payload.
     deleted: a Boolean over the columns of changes that marks a delete; null counts as false.
     base: the state before, with the columns of changes; the newer of a base row and a change wins, and at equal
-    log positions they are one change. Its rows are never deletes.
-    Result: the columns of changes, one row per key with a value at the end. Null keys have no state. An empty
+    log positions they are one change. It must be a result with keep_deletes: a key's last delete is a row of it, by the same
+    mark, or else an older change that comes later would bring the key back.
+    Result: the columns of changes, one row per key with a value at the end; with keep_deletes also the delete of every
+    key that ends with one, so that the result can be a base. Null keys have no state. An empty
     feed gives the base without its older versions. Columns of any name may be present.
     """
-    flag = _free(changes, _DELETE)
-    rows = changes.withColumn(flag, F.coalesce(deleted, F.lit(False)))
-    if base is not None:
-        rows = rows.unionByName(base.select(*changes.columns).withColumn(flag, F.lit(False)))
-    return newest(rows, keys, order, tie).filter(~F.col(flag)).drop(flag)
+    rows = changes if base is None else changes.unionByName(base.select(*changes.columns))
+    last = newest(rows, keys, order, tie)
+    return last if keep_deletes else last.filter(~F.coalesce(deleted, F.lit(False)))
 
 
 def change_counts(changes: DataFrame, keys: Sequence[str], order: Sequence[str], deleted: Column) -> DataFrame:

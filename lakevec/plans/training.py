@@ -21,8 +21,10 @@ def p4_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     deleted = F.col("value").isNull()
     stored = runtime.table(spark, sf_dir, "sstable_entries").select(*columns)
     feed = runtime.table(spark, sf_dir, "incoming_entries").select(*columns)
-    # a tombstone in the stored entries must still beat an older change that arrives late
-    return changes.apply_changes(stored.unionByName(feed), ["key"], ["timestamp", "sequence"], deleted, tie=["value"])
+    order = ["timestamp", "sequence"]
+    # the base keeps its tombstones: they must still beat an older change that arrives late
+    base = runtime.written(changes.apply_changes(stored, ["key"], order, deleted, tie=["value"], keep_deletes=True), "base")
+    return changes.apply_changes(feed, ["key"], order, deleted, base, ["value"])
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
