@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters from which a fragment is cut further, at spaces and inside runs of letters.
-LONG = 4096
 #: Characters of fragments whose ids a worker remembers before it starts anew, and of the longest remembered one.
 REMEMBERED, WORTH = 1 << 23, 1 << 10
 
@@ -60,8 +58,7 @@ class Encoder:
         self.ranks = parse_ranks(data)
         self.inside = inside_pairs(self.ranks)
         self._bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self._lines = self._cuts("\n")
-        self._spaces = self._cuts(" \t\r\n")
+        self._line_cuts = self._cuts("\n")
         self._known: dict[str, array] = {}
         self._known_chars = 0
 
@@ -77,40 +74,42 @@ class Encoder:
     def _letter_cuts(self, text: str) -> list[str]:
         """text cut at every certain boundary between two letters."""
         b = np.frombuffer(text.encode(), dtype=np.uint8)
+        apart = ~self.inside[b[:-1], b[1:]]
+        if not apart.any():
+            return [text]
         begins = (b & 0xC0) != 0x80
         chars = np.cumsum(begins) - 1
-        at = chars[1:][~self.inside[b[:-1], b[1:]] & begins[1:]]
+        at = chars[1:][apart & begins[1:]]
         cuts = [0, *(i for i in at.tolist() if text[i - 1].isalpha() and text[i].isalpha()), len(text)]
         return [text[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def fragments(self, text: str) -> list[str]:
-        """The fragments of text between certain cuts: lines, and of long lines shorter parts."""
-        parts = self._lines.split(text) if self._lines else [text]
-        if len(text) <= LONG:
-            return parts
-        out: list[str] = []
-        for line in parts:
-            if len(line) <= LONG:
-                out.append(line)
-                continue
-            for word in self._spaces.split(line) if self._spaces else [line]:
-                out.extend([word] if len(word) <= LONG else self._letter_cuts(word))
-        return out
+        """The fragments of text between certain cuts, before line ends and inside runs of letters, whatever its length."""
+        return [part for line in self._lines(text) for part in self._letter_cuts(line)]
+
+    def _lines(self, text: str) -> list[str]:
+        return self._line_cuts.split(text) if self._line_cuts else [text]
 
     def encode(self, text: str) -> array:
-        """The ids of text, without special tokens; strings that look like them are ordinary text."""
+        """The ids of text, without special tokens; strings that look like them are ordinary text.
+
+        Lines between certain cuts that a worker has met lately have their ids already; others are cut between their letters, and
+        each fragment is encoded alone.
+        """
         ids = array("i")
         known = self._known
-        for part in self.fragments(text):
-            have = known.get(part)
+        for line in self._lines(text):
+            have = known.get(line)
             if have is None:
-                have = array("i", self._bpe.encode_ordinary(part))
-                if len(part) <= WORTH:
+                have = array("i")
+                for part in self._letter_cuts(line):
+                    have.extend(self._bpe.encode_ordinary(part))
+                if len(line) <= WORTH:
                     if self._known_chars > REMEMBERED:
                         known.clear()
                         self._known_chars = 0
-                    known[part] = have
-                    self._known_chars += len(part)
+                    known[line] = have
+                    self._known_chars += len(line)
             ids += have
         return ids
 

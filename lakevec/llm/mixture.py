@@ -13,7 +13,7 @@ from lakevec import runtime
 
 #: Partitions whose residuals are combined in one task of a level of the reduction tree.
 FAN_IN = 32
-#: Rows that are paired at once; more are first settled in blocks of this size.
+#: Rows that are paired at once, about: the lowest groups of the tree.
 BLOCK = 1 << 17
 
 _STATE = "doc long, source string, size long, copies long, rest double, part int"
@@ -75,26 +75,6 @@ def _settled(table: pa.Table, seed: int, part: int) -> Iterator[pa.RecordBatch]:
     yield from pa.table({k: pa.chunked_array(v.chunks, type=kinds.field(k).type) if isinstance(v, pa.ChunkedArray) else pa.array(v, type=kinds.field(k).type) for k, v in columns.items()}, schema=kinds).to_batches()
 
 
-def _pair_in_tasks(rows: DataFrame, seed: int) -> DataFrame:
-    """Pairs within the tasks as they come; each source leaves at most one open row a task and block."""
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= BLOCK:
-                yield from _settled(pa.Table.from_batches(held), seed, part)
-                held, n = [], 0
-        if n:
-            yield from _settled(pa.Table.from_batches(held), seed, part)
-
-    return rows.mapInArrow(pair, _STATE)
-
-
 def plan(totals: DataFrame, weights: DataFrame, total: float | None = None) -> DataFrame:
     """Per source of weights: its share, size, cap, and the copies that every unit of its size must have.
 
@@ -122,39 +102,41 @@ def mix(docs: DataFrame, doc_id: str, source: str, size: str, weights: DataFrame
 
     docs: doc_id (unique integer), source, size (null or negative: 0). Each document of a source has the same expected copies,
     those of plan(); their integral part is given, and the fractions are rounded by weighted pivotal rounding: in
-    tasks as the rows lie, then the open rows of FAN_IN tasks together, and so on in a tree, so that per source at most one
+    groups of about BLOCK by the hash of the id, then the open rows of FAN_IN groups together, and so on in a tree, so that per source at most one
     fraction is left, which is drawn. A source's tokens thus miss its goal by at most one document. No document
     has more than max_repeats copies. Every document comes out once, with 0 copies if it isn't chosen, also
-    those without or with an unknown source. Draws depend on the ids, so that a task that runs again
-    repeats its result. Report: source, target_share, goal_share, size, n_docs, n_copies, tokens, actual_share.
+    those without or with an unknown source. Groups, order and draws depend on the ids only, so that the
+    result is the same however the rows lie in tasks. Report: source, target_share, goal_share, size, n_docs, n_copies, tokens, actual_share.
     """
     runtime.ship(docs.sparkSession)
     sized = runtime.written(
         docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{source}`").alias("source"), F.greatest(F.coalesce(F.col(f"`{size}`"), F.lit(0)), F.lit(0)).cast("long").alias("size")),
         "sized",
     )
-    goals = runtime.written(plan(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, total).coalesce(1), "goals")
+    totals = runtime.written(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "totals")
+    goals = runtime.written(plan(totals.select("source", "size"), weights, total).coalesce(1), "goals")
     # as many rows as weights has sources, a table of fixed size
     each = goals.select(F.col("source").alias("g_source"), "each", "max_repeats")
-    started = sized.join(each, F.col("source") == F.col("g_source"), "left").withColumn("each", F.coalesce("each", F.lit(0.0)))
+    started = sized.join(F.broadcast(each), F.col("source") == F.col("g_source"), "left").withColumn("each", F.coalesce("each", F.lit(0.0)))
     whole = F.floor(F.col("each"))
-    rows = started.select("doc", "source", "size", whole.cast("long").alias("copies"), (F.col("each") - whole).alias("rest"), F.lit(0).alias("part"))
-    level = runtime.written(_pair_in_tasks(rows, seed), "paired")
-    done = [level.filter("rest = 0")]
-    left = level.filter("rest > 0")
-    tasks = 1 + (level.agg(F.max("part")).first()[0] or 0)
-    while True:
-        tasks = -(-tasks // FAN_IN)
+    tasks = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    part = F.pmod(F.xxhash64("doc"), F.lit(tasks)).cast("int")
+    rows = started.select("doc", "source", "size", whole.cast("long").alias("copies"), (F.col("each") - whole).alias("rest"), part.alias("part"))
+
+    def settled(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(_settled(table.select(["doc", "source", "size", "copies", "rest", "part"]), seed, key[1].as_py())))
 
-        def combine(key: tuple, table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(list(_settled(table.select(["doc", "source", "size", "copies", "rest", "part"]), seed, key[1].as_py())))
+    def combined(open_rows: DataFrame) -> DataFrame:
+        return runtime.written(open_rows.groupBy("source", "part").applyInArrow(settled, _STATE), "combined")
 
-        at = F.floor(F.col("part") / FAN_IN).cast("int")
-        level = runtime.written(left.withColumn("part", at).groupBy("source", "part").applyInArrow(combine, _STATE), "combined")
+    level = combined(rows.filter("rest > 0"))
+    done = [rows.filter("rest = 0"), level.filter("rest = 0")]
+    left = level.filter("rest > 0")
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        level = combined(left.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")))
         done.append(level.filter("rest = 0"))
         left = level.filter("rest > 0")
-        if tasks <= 1:
-            break
     last = F.pmod(F.xxhash64(F.lit(seed), "doc"), F.lit(1 << 30)) / float(1 << 30) < F.col("rest")
     done.append(left.withColumn("copies", F.col("copies") + last.cast("long")))
     chosen = done[0]

@@ -122,9 +122,20 @@ SQL = {
     "p3_report": """
         WITH i AS (
             SELECT incoming_id, config_id, key, min(incoming_id) OVER (PARTITION BY key) AS first FROM incoming_entries WHERE key IS NOT NULL),
-        s AS (SELECT *, incoming_id > first OR key IN (SELECT key FROM sstable_entries WHERE key IS NOT NULL) AS seen FROM i)
-        SELECT s.config_id, count(*) AS n_records, count(*) FILTER (seen) AS n_seen, CAST(0 AS BIGINT) AS n_wrong,
-               CAST(0 AS DOUBLE) AS wrong_rate, c.bloom_filter_fpr AS allowed_rate, TRUE AS within
-        FROM s LEFT JOIN store_configs c ON s.config_id = c.config_id GROUP BY s.config_id, c.bloom_filter_fpr""",
+        n AS (SELECT (SELECT count(*) FROM sstable_entries) + (SELECT count(*) FROM incoming_entries) AS n,
+                     (SELECT min(bloom_filter_fpr) FROM store_configs WHERE bloom_filter_fpr > 0) AS rate),
+        sized AS (SELECT greatest(1, CAST(ceil(n / 262144) AS BIGINT)) AS parts,
+                         CAST(ceil(log2(greatest(2, 2 * least(n, 262144)))) + ceil(-log2(rate)) AS INTEGER) AS bits FROM n),
+        marked AS (
+            SELECT src, pos, key, CAST('0x' || substr(md5(key), 18, 15) AS BIGINT) % parts AS part, CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) >> (60 - bits) AS mark
+            FROM (SELECT 0 AS src, CAST(-1 AS BIGINT) AS pos, key FROM sstable_entries UNION ALL SELECT 1, incoming_id, key FROM incoming_entries) e, sized
+            WHERE key IS NOT NULL),
+        earliest AS (SELECT part, mark, min(CASE src WHEN 0 THEN -1 ELSE pos END) AS first_mark FROM marked GROUP BY 1, 2),
+        said AS (SELECT m.pos AS incoming_id, m.pos > e.first_mark AS said FROM marked m JOIN earliest e ON m.part = e.part AND m.mark = e.mark WHERE m.src = 1),
+        s AS (SELECT i.*, said, incoming_id > first OR key IN (SELECT key FROM sstable_entries WHERE key IS NOT NULL) AS seen FROM i JOIN said USING (incoming_id)),
+        per AS (SELECT s.config_id, count(*) AS n_records, count(*) FILTER (said) AS n_seen, count(*) FILTER (said <> seen) AS n_wrong,
+                       CASE WHEN count(*) FILTER (NOT seen) > 0 THEN count(*) FILTER (said <> seen) / count(*) FILTER (NOT seen) ELSE 0 END AS wrong_rate, c.bloom_filter_fpr AS allowed_rate
+                FROM s LEFT JOIN store_configs c ON s.config_id = c.config_id GROUP BY s.config_id, c.bloom_filter_fpr)
+        SELECT *, wrong_rate <= coalesce(allowed_rate, 0) AS within FROM per""",
     "p6_roundtrip": "SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents",
 }

@@ -16,6 +16,11 @@ WRONG_RATE = 2.0**-30
 #: Keys a partition of the index is planned for.
 KEYS_PER_PARTITION = 1 << 18
 
+#: Batches in which the incoming records are taken, in order of arrival.
+BATCHES = 3
+#: Most bits of a fingerprint.
+MARK_BITS = 60
+
 INDEX_SCHEMA = "part int, n long, bits int, low_bits int, high binary, low binary"
 _WORD = np.uint64(64)
 
@@ -121,14 +126,19 @@ def plan(keys: int, wrong_rate: float = WRONG_RATE, per_partition: int = KEYS_PE
     """
     parts = max(1, -(-keys // per_partition))
     bits = math.ceil(math.log2(max(2, 2 * min(keys, per_partition)))) + math.ceil(-math.log2(wrong_rate))
-    return parts, min(bits, 62)
+    return parts, min(bits, MARK_BITS)
 
 
 def fingerprints(df: DataFrame, key: str, parts: int, bits: int) -> DataFrame:
-    """df's rows with a key, with part and mark (the fingerprint). Keys are compared byte by byte."""
-    h = F.xxhash64(F.col(f"`{key}`").cast("binary"))
-    part = F.pmod(F.xxhash64(F.lit("part"), h), F.lit(parts)).cast("int")
-    return df.filter(F.col(f"`{key}`").isNotNull()).withColumns({"part": part, "mark": F.shiftrightunsigned(h, 64 - bits)})
+    """df's rows with a key, with part and mark (the fingerprint). Keys are compared byte by byte.
+
+    Both come from the MD5 sum of the key, a hash that other systems have too, so that an index can be probed and checked elsewhere: mark
+    is the upper part of its first 60 bits, part the remainder of its last 60.
+    """
+    h = F.md5(F.col(f"`{key}`").cast("binary"))
+    number = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("long")
+    part = F.pmod(number(18), F.lit(parts)).cast("int")
+    return df.filter(F.col(f"`{key}`").isNotNull()).withColumns({"part": part, "mark": F.shiftrightunsigned(number(1), MARK_BITS - bits)})
 
 
 def _encoded(marks: pd.Series, bits: int) -> EliasFano:
@@ -191,30 +201,49 @@ def merge_batch(index: DataFrame, batch: DataFrame, key: str, parts: int, bits:
     return runtime.written(index.groupBy("part").cogroup(marks.groupBy("part")).applyInPandas(merge, INDEX_SCHEMA), "seen-index")
 
 
-def seen_before(history: DataFrame, incoming: DataFrame, key: str, order: str, wrong_rate: float = WRONG_RATE) -> DataFrame:
+def seen_before(history: DataFrame, incoming: DataFrame, key: str, order: str, wrong_rate: float = WRONG_RATE, batches: int = BATCHES) -> DataFrame:
     """The rows of incoming whose key occurs in history or in a row of incoming with a smaller order value.
 
     order: a unique integer column of incoming, its order of arrival. A null key was never seen and never
-    comes out; empty strings are keys; repeated history rows count once. A new key is wrongly said to be seen with
+    comes out; empty strings are keys; repeated history rows count once. The index of history is built once; then the records are taken
+    in batches, ranges of order: each is probed against the index and then merged into it, partition by partition. A new key is wrongly said to be seen with
     a probability of at most wrong_rate, a seen one is always found. Memory: the index, 4 bytes a
     key at the default rate. Records are only ever dropped by their unique order value, so a hot key is not
     gathered anywhere.
     """
-    parts, bits = plan(history.count() + incoming.count(), wrong_rate)
-    index = build_index(history.select(F.col(f"`{key}`").alias("k")), "k", parts, bits)
-    batch = incoming.select(F.col(f"`{key}`").alias("k"), F.col(f"`{order}`").alias("o"))
-    new = unseen(index, batch, "k", "o", parts, bits).withColumnRenamed("first", order)
-    found = incoming.filter(F.col(f"`{key}`").isNotNull()).join(new, order, "left_anti")
+    o = F.col(f"`{order}`")
+    arrived = incoming.agg(F.count(F.lit(1)).alias("n"), F.min(o).alias("first"), F.max(o).alias("last")).first()
+    parts, bits = plan(history.count() + arrived["n"], wrong_rate)
+    index = runtime.written(build_index(history.select(F.col(f"`{key}`").alias("k")), "k", parts, bits), "seen-index")
+    records = incoming.select(F.col(f"`{key}`").alias("k"), o.alias("o"))
+    first, last = arrived["first"] or 0, arrived["last"] or 0
+    edges = [first + (last + 1 - first) * i // batches for i in range(batches + 1)]
+    new = None
+    for i in range(batches):
+        batch = records.filter((F.col("o") >= edges[i]) & (F.col("o") < edges[i + 1]))
+        found = unseen(index, batch, "k", "o", parts, bits)
+        new = found if new is None else new.unionByName(found)
+        if i + 1 < batches:
+            index = merge_batch(index, batch, "k", parts, bits)
+    found = incoming.filter(F.col(f"`{key}`").isNotNull()).join(new.withColumnRenamed("first", order), order, "left_anti")
     return found.select(*(f"`{c}`" for c in incoming.columns))
 
 
-def report(history: DataFrame, incoming: DataFrame, configs: DataFrame, key: str, order: str, config: str, rate: str, wrong_rate: float = WRONG_RATE) -> DataFrame:
+def strictest(configs: DataFrame, rate: str) -> float:
+    """The least allowed rate of a table of configurations, which is small; WRONG_RATE if none is given."""
+    least = configs.filter(F.col(rate) > 0).agg(F.min(rate)).first()[0]
+    return WRONG_RATE if least is None else min(0.5, least)
+
+
+def report(history: DataFrame, incoming: DataFrame, configs: DataFrame, key: str, order: str, config: str, rate: str, wrong_rate: float | None = None) -> DataFrame:
     """Per configuration: records with a key, said to be seen, wrong answers and their rate among new keys, and the allowed rate.
 
+    The index is made for wrong_rate, by default the strictest allowed rate, since one index serves all configurations.
     Wrong answers are counted against an exact comparison of the keys themselves. A configuration without an
     allowed rate (null) allows none. within: whether the rate keeps to it. Records of no known configuration
     count under a null one.
     """
+    wrong_rate = strictest(configs, rate) if wrong_rate is None else wrong_rate
     keyed = incoming.filter(F.col(f"`{key}`").isNotNull()).select(F.col(order).alias("o"), F.col(key).alias("k"), F.col(config).alias("c"))
     stored = history.select(F.col(f"`{key}`").alias("k"))
     said = seen_before(stored, keyed, "k", "o", wrong_rate).select(F.col("o").alias("said"))

@@ -23,11 +23,7 @@ def test_fragments_encode_as_the_whole(pieces, other):
     text = "".join(pieces) + other + "".join(pieces[::-1])
     want = e._bpe.encode_ordinary(text)
     assert list(e.encode(text)) == want and e.decode(want).decode() == text
-    long, encode.LONG = encode.LONG, 4
-    try:
-        parts = e.fragments(text)
-    finally:
-        encode.LONG = long
+    parts = e.fragments(text)
     assert "".join(parts) == text
     assert [i for p in parts for i in e._bpe.encode_ordinary(p)] == want
 
@@ -36,10 +32,22 @@ def test_long_lines_are_cut(enc):
     r = random.Random(2)
     text = "".join(r.choice("漢字の東西南北山川ж") for _ in range(60_000)) + "x" * 9000 + "word " * 5000
     parts = enc.fragments(text)
-    assert max(map(len, parts)) <= 9100 and len(parts) > 5000
+    assert max(map(len, parts)) <= 35_000 and len(parts) > 3000
     assert [i for p in parts for i in enc._bpe.encode_ordinary(p)] == enc._bpe.encode_ordinary(text)
 
 
+def test_short_lines_are_cut_like_long_ones(enc):
+    """The cuts depend on the byte pairs only."""
+    long = "漢字の東西南北山川ж" * 2000
+    at = {len("".join(enc.fragments(long)[:i])) for i in range(1, 400)}
+    short = long[:40]
+    mine, n = set(), 0
+    for p in enc.fragments(short)[:-1]:
+        n += len(p)
+        mine.add(n)
+    assert mine == {x for x in at if x < 40}
+
+
 def test_memory_is_bounded(enc, monkeypatch):
     monkeypatch.setattr(encode, "REMEMBERED", 100)
     for i in range(200):

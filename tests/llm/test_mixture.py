@@ -60,6 +60,14 @@ def test_shares_are_reached(spark, monkeypatch, fan_in):
     assert {k: v.copies for k, v in run(spark, rows, WEIGHTS)[0].items()}.keys() == chosen.keys()
 
 
+def test_the_mixture_does_not_depend_on_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "BLOCK", 64)
+    w = spark.createDataFrame(WEIGHTS, "source string, target_share double, max_repeats int")
+    d = spark.createDataFrame(docs(400), KIND)
+    one, two = ({(r.doc, r.copies) for r in mixture.mix(x, "doc_id", "source", "n", w)[0].collect()} for x in (d.repartition(2), d.repartition(5, "n")))
+    assert one == two
+
+
 def test_a_larger_total_leaves_capped_sources_short(spark):
     _, report = run(spark, docs(), WEIGHTS, total=10**6)
     assert report["big"].n_copies == report["big"].n_docs and report["big"].actual_share < report["big"].goal_share

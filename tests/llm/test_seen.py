@@ -48,6 +48,15 @@ def test_is_brute_force(spark):
     assert run(spark, HISTORY, INCOMING) == brute(HISTORY, INCOMING)
 
 
+def test_repeats_in_the_same_and_in_later_batches(spark, monkeypatch):
+    merged, real = [], seen.merge_batch
+    monkeypatch.setattr(seen, "merge_batch", lambda *a: merged.append(1) or real(*a))
+    rows = [(100 + i, f"k{i % 37}" if i % 5 else None) for i in range(200)]
+    for batches in (1, 2, 7):
+        merged.clear()
+        assert run(spark, HISTORY, rows, batches=batches) == brute(HISTORY, rows) and len(merged) == batches - 1
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []) == set() and run(spark, ["a"], []) == set()
     assert run(spark, [], INCOMING) == brute([], INCOMING) and run(spark, [None], [(1, "a")]) == set()
@@ -80,7 +89,10 @@ def test_report_measures_wrong_answers(spark):
     configs = spark.createDataFrame([(0, 0.2), (1, None)], "config_id int, fpr double")
     coarse = {r.config_id: r for r in seen.report(history, incoming, configs, "key", "id", "config_id", "fpr", wrong_rate=0.1).collect()}
     assert 0 < coarse[0].wrong_rate <= 0.2 and coarse[0].within and not coarse[1].within
-    exact = seen.report(history, incoming, configs, "key", "id", "config_id", "fpr").collect()
+    strict = {r.config_id: r for r in seen.report(history, incoming, configs, "key", "id", "config_id", "fpr").collect()}
+    assert seen.strictest(configs, "fpr") == 0.2 and seen.strictest(configs.limit(0), "fpr") == seen.WRONG_RATE
+    assert 0 < strict[0].wrong_rate <= 0.2 and strict[0].within
+    exact = seen.report(history, incoming, configs, "key", "id", "config_id", "fpr", wrong_rate=seen.WRONG_RATE).collect()
     assert all(r.n_wrong == 0 and r.within and r.n_records == 1500 for r in exact)
 
 
