@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakevec import runtime
+from lakevec import errors, runtime
 from lakevec.functions import vector as vectors
 from lakevec.operators import segments, stats, vector_search
 from lakevec.operators.changes import apply_changes
 from lakevec.plans.frame import LazyFrame, all_columns, col, lit
 from lakevec.session import Engine
-from lakevec.sources import io
+from lakevec.sources import io, kv
 from lakevec.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,3 +469,167 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kv_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = runtime.table(spark, sf_dir, "sstable_entries").select("key", "value", "timestamp", "sequence")
     return apply_changes(log.filter(F.col("key").startswith("user:")), ["key"], ["timestamp", "sequence"], F.col("value").isNull()).select("key", "value")
+
+
+# operators that the queries above don't reach; small outcomes come as rows
+
+_dialect(
+    "having_on_keys",
+    "SELECT l_suppkey + 1 AS s, SUM(l_linenumber) - COUNT(*) AS d FROM lineitem GROUP BY l_suppkey HAVING l_suppkey > 10 AND MIN(l_linenumber) = 1",
+    "SELECT l_suppkey + 1 AS s, CAST(sum(l_linenumber) - count(*) AS BIGINT) AS d FROM lineitem GROUP BY l_suppkey HAVING l_suppkey > 10 AND min(l_linenumber) = 1",
+)
+_dialect(
+    "avg_distinct",
+    "SELECT l_returnflag, AVG(DISTINCT l_linenumber) AS a, SUM(DISTINCT l_linenumber) AS s FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, avg(DISTINCT l_linenumber) AS a, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag",
+)
+
+
+@_add("rowid_scan", "SELECT CAST(s AS BIGINT) AS segment, count(*) AS n_rows, count(*) AS n_ids, CAST(0 AS BIGINT) AS first_place, count(*) - 1 AS last_place FROM (SELECT CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS s FROM orders) GROUP BY s")
+def rowid_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row ids of segments that are several files each."""
+    orders = runtime.table(spark, sf_dir, "orders")
+    store = segments.SegmentStore(spark, runtime.new_dir(spark, "segments"))
+    store.write("orders", orders.filter("o_orderstatus = 'O'").repartition(4), row_group_size=1000)
+    store.write("orders", orders.filter("o_orderstatus <> 'O'").repartition(3), row_group_size=1000)
+    ids = store.scan("orders", ["o_orderkey"], row_ids=True)
+    segment, place = segments.decode_row_id("row_id")
+    return ids.select("row_id", segment, place).groupBy("segment").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), F.min("offset").alias("first_place"), F.max("offset").alias("last_place"))
+
+
+@_add("knn_late_materialisation", f"SELECT vec_id, label, round(0 - list_distance(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_Q}), vec_id LIMIT 15")
+def knn_late_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest row ids first, then the other columns of these rows."""
+    store = segments.SegmentStore(spark, runtime.new_dir(spark, "segments"))
+    store.write("embeddings", _vectors(spark, sf_dir).orderBy("vec_id").coalesce(1))
+    found = store.search("embeddings", "embedding", _query(spark, sf_dir), "l2", 15, ["vec_id", "label"])
+    return found.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@_add("copy_csv", "SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def copy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = runtime.new_dir(spark, "csv").removeprefix("file://")
+    io.write_csv(runtime.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").repartition(2), path)
+    e = Engine(spark, runtime.new_dir(spark, "catalog"))
+    e.execute("CREATE TABLE n (n_nationkey INT PRIMARY KEY, n_name TEXT NOT NULL, n_regionkey BIGINT)")
+    for f in io.data_files(path):
+        io.copy_into(e.catalog, "n", f)
+    return e.sql("SELECT * FROM n")
+
+
+@_add("csv_options", "SELECT CAST(c_custkey AS INTEGER) AS column_1, c_name AS column_2, NULLIF(c_mktsegment, 'BUILDING') AS column_3 FROM customer WHERE c_custkey > 20")
+def csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = runtime.new_dir(spark, "csv")
+    runtime.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, sep=";")
+    options = io.CsvOptions(has_header=False, delimiter=";", null_values=["BUILDING"], predicate=col("column_1") > 20)
+    return io.scan_csv(spark, path, options).df
+
+
+@_add("kv_scan", "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name LIKE 'NATION_1%' AND n_nationkey <> 12 UNION ALL SELECT 'NATION_1x', 'new'")
+def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs put, deleted and read by prefix in transactions."""
+    store = kv.KeyValue(spark, runtime.new_dir(spark, "kv"))
+    rows = runtime.table(spark, sf_dir, "nation").collect()  # 25 rows
+    t = store.begin()
+    for r in rows:
+        t.put(r["n_name"].encode(), f"r{r['n_regionkey']}".encode())
+    t.commit()
+    t = store.begin()
+    t.delete(next(r["n_name"] for r in rows if r["n_nationkey"] == 12).encode())
+    t.put(b"NATION_1x", b"new")
+    pairs = [(k.decode(), v.decode()) for k, v in t.scan_prefix(b"NATION_1")]
+    t.rollback()
+    return spark.createDataFrame(pairs, "key string, value string")
+
+
+def _outcome(run: Callable[[], object]) -> str:
+    """The class of error that a call raises, or what it gives."""
+    try:
+        return str(run())
+    except errors.LakevecError as e:
+        return type(e).__name__
+
+
+@_add("write_modes", "SELECT * FROM (VALUES ('append, missing', 'None'), ('error, there', 'TableExists'), ('error, missing', 'WriteTargetNotFound'), ('ignore, missing', 'WriteTargetNotFound'), ('ignore, there', 'None'), ('merge without key', 'InvalidOption'), ('other', 'InvalidOption'), ('append, other columns', 'SchemaMismatch')) t(step, outcome) UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM nation")
+def write_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Engine(spark, runtime.new_dir(spark, "catalog")).catalog
+    n = runtime.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    write = lambda table, mode, df=n: _outcome(lambda: c.write_table(df, "default", "default", table, mode))
+    steps = [("append, missing", write("t", "append")), ("error, there", write("t", "error")), ("error, missing", write("u", "error")), ("ignore, missing", write("u", "ignore")), ("ignore, there", write("t", "ignore"))]
+    steps += [("merge without key", write("t", "merge")), ("other", write("t", "upsert")), ("append, other columns", write("t", "append", n.select("n_name")))]
+    return spark.createDataFrame([*steps, ("rows", str(c.read("t").count()))], "step string, outcome string")
+
+
+@_add("constraints", "SELECT * FROM (VALUES ('null in a key', 'NullViolation'), ('null', 'NullViolation'), ('key there', 'ConstraintViolation'), ('key twice', 'ConstraintViolation'), ('update onto a key', 'ConstraintViolation'), ('dimension', 'DimensionMismatch'), ('type', 'TypeMismatch'), ('column missing', 'ColumnCountMismatch')) t(step, outcome) UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM region")
+def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that break a constraint change nothing."""
+    e = engine(spark, sf_dir, runtime.new_dir(spark, "catalog"))
+    e.execute("CREATE TABLE r (id INT PRIMARY KEY, name TEXT NOT NULL, v VECTOR(2, L2))")
+    rows = e.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>").alias("v"))
+    e.catalog.append("r", rows)
+    bad = {
+        "null in a key": "INSERT INTO r VALUES (NULL, 'x', [1, 2])",
+        "null": "INSERT INTO r VALUES (100, NULL, [1, 2])",
+        "key there": "INSERT INTO r VALUES (0, 'x', [1, 2])",
+        "key twice": "INSERT INTO r VALUES (100, 'x', [1, 2]), (100, 'y', [1, 2])",
+        "update onto a key": "UPDATE r SET id = 1 WHERE id = 0",
+        "dimension": "INSERT INTO r VALUES (100, 'x', [1, 2, 3])",
+        "type": "INSERT INTO r VALUES ('a', 'x', [1, 2])",
+        "column missing": "INSERT INTO r (id, name) VALUES (100, 'x')",
+    }
+    steps = [(k, _outcome(lambda q=q: e.execute(q))) for k, q in bad.items()]
+    return spark.createDataFrame([*steps, ("rows", str(e.sql("SELECT * FROM r").count()))], "step string, outcome string")
+
+
+@_add("drop_tables", "SELECT * FROM (VALUES ('tables', 'b'), ('indexes', '__pk_b'), ('again', 'TableNotFound'), ('if exists', 'Result(rows=None, affected=None)'), ('reserved', 'InvalidOption'), ('index gone', 'IndexNotFound')) t(step, outcome)")
+def drop_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, runtime.new_dir(spark, "catalog"))
+    e.execute("CREATE TABLE a (id INT PRIMARY KEY); CREATE TABLE b (id INT PRIMARY KEY, v INT); CREATE INDEX i ON b (v); DROP TABLE a; DROP INDEX i")
+    steps = [("tables", ",".join(e.catalog.list_tables())), ("indexes", ",".join(e.catalog.list_indexes()))]
+    steps += [("again", _outcome(lambda: e.execute("DROP TABLE a"))), ("if exists", _outcome(lambda: e.execute("DROP TABLE IF EXISTS a")))]
+    steps += [("reserved", _outcome(lambda: e.execute("DROP INDEX __pk_b"))), ("index gone", _outcome(lambda: e.execute("DROP INDEX i")))]
+    return spark.createDataFrame(steps, "step string, outcome string")
+
+
+@_add("catalog_tree", "SELECT * FROM (VALUES ('catalogs', 'default,lake'), ('namespaces', 'raw'), ('tables', 't'), ('not empty', 'NamespaceError'), ('bad name', 'InvalidOption'), ('default stays', 'NamespaceError'), ('after rollback', 'default,lake'), ('after force', 'default')) t(step, outcome)")
+def catalog_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Engine(spark, runtime.new_dir(spark, "catalog")).catalog
+    c.create_catalog("lake")
+    c.create_namespace("lake", "raw")
+    c.create_table("t", runtime.table(spark, sf_dir, "region").schema, "lake", "raw")
+    names = lambda: ",".join(c.list_catalogs())
+    steps = [("catalogs", names()), ("namespaces", ",".join(c.list_namespaces("lake"))), ("tables", ",".join(c.list_tables("lake", "raw")))]
+    steps += [("not empty", _outcome(lambda: c.delete_catalog("lake"))), ("bad name", _outcome(lambda: c.create_namespace("lake", "9x"))), ("default stays", _outcome(lambda: c.delete_catalog("default", force=True)))]
+    txn = c.begin()
+    c.delete_catalog("lake", force=True)
+    txn.rollback()
+    steps.append(("after rollback", names()))
+    c.delete_catalog("lake", force=True)
+    return spark.createDataFrame([*steps, ("after force", names())], "step string, outcome string")
+
+
+@_add("vec_upsert_get", "SELECT vec_id AS key, CASE WHEN label = 2 THEN 1.0::DOUBLE ELSE round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) END AS square FROM embeddings WHERE label IN (2, 3)")
+def vec_upsert_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label are replaced by unit ones and read back by key."""
+    rows = _vectors(spark, sf_dir)
+    one = F.transform("embedding", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0).cast("float"))
+    store = vector_search.VectorStore(spark, 64, "l2").append(rows, "vec_id", "embedding").upsert(rows.filter("label = 2").withColumn("embedding", one), "vec_id", "embedding")
+    wanted = rows.filter("label IN (2, 3)").select(F.col("vec_id").alias("key"))
+    return store.rows.filter("NOT deleted").join(wanted, "key", "left_semi").select("key", F.round(vectors.inner_product("vector", "vector"), 4).alias("square"))
+
+
+@_add("indexed_search", f"SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], {_Q}), 5) AS score FROM embeddings WHERE label <> 1 ORDER BY list_distance(embedding::DOUBLE[], {_Q}), vec_id LIMIT 10")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a vector index: rows are deleted after it was made, and the search call sees that."""
+    e = Engine(spark, runtime.new_dir(spark, "catalog"))
+    e.execute("CREATE TABLE items (id BIGINT PRIMARY KEY, label INT, v VECTOR(64, L2))")
+    e.catalog.append("items", _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")))
+    e.execute("CREATE INDEX near ON items (v) USING HNSW WITH (m = 8, ef_construction = 32); DELETE FROM items WHERE label = 1")
+    return e.vector_search("items", "v", _query(spark, sf_dir), "l2", 10).select("id", F.round("score", 5).alias("score"))
+
+
+@_add("cursor", "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000")
+def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a SELECT one after another, partition by partition, and back."""
+    found = engine(spark, sf_dir).stream("SELECT o_orderkey FROM orders WHERE o_totalprice > 400000")
+    return spark.createDataFrame([(r["o_orderkey"],) for r in found], "o_orderkey long")

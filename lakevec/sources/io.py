@@ -131,6 +131,11 @@ def check_path(path: str, allowed: Sequence[str] | None) -> str:
     return str(p)
 
 
+def data_files(directory: str) -> list[str]:
+    """The data files in a local directory, by name."""
+    return sorted(str(p) for p in Path(directory).iterdir() if p.is_file() and not p.name.startswith(("_", ".")))
+
+
 def _parsed(text: Column, t: types.SqlType) -> Column:
     """A value of a bulk-loaded line: null in any case is NULL, timestamps are microseconds, vectors stand in brackets."""
     v = F.trim(text)
