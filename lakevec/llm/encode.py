@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +42,12 @@ def inside_pairs(ranks: dict[bytes, int]) -> np.ndarray:
     return inside
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """At each code point whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+
+
 class Encoder:
     """Encodes texts fragment by fragment.
 
@@ -58,58 +64,69 @@ class Encoder:
         self.ranks = parse_ranks(data)
         self.inside = inside_pairs(self.ranks)
         self._bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self._line_cuts = self._cuts("\n")
+        #: visible ASCII characters before which nothing joins with a line end
+        self._before = frozenset(chr(c) for c in range(0x21, 0x7F) if not self.inside[c, ord("\n")])
+        self._apart = ~self.inside.ravel()
         self._known: dict[str, array] = {}
         self._known_chars = 0
 
-    def _cuts(self, spaces: str) -> re.Pattern | None:
-        """Matches the empty string at the certain cuts before one of the spaces."""
-        ways = []
-        for s in spaces:
-            before = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not self.inside[c, ord(s)])
-            if before:
-                ways.append(f"(?<=[{before}])(?={re.escape(s)})")
-        return re.compile("|".join(ways)) if ways else None
-
-    def _letter_cuts(self, text: str) -> list[str]:
-        """text cut at every certain boundary between two letters."""
+    def _letter_cuts(self, text: str) -> list[int]:
+        """The places of all certain boundaries between two letters."""
         b = np.frombuffer(text.encode(), dtype=np.uint8)
-        apart = ~self.inside[b[:-1], b[1:]]
-        if not apart.any():
-            return [text]
+        pair = b[:-1].astype(np.uint16)
+        pair <<= 8
+        pair |= b[1:]
+        at = np.flatnonzero(self._apart.take(pair))
+        if not len(at):
+            return []
         begins = (b & 0xC0) != 0x80
         chars = np.cumsum(begins) - 1
-        at = chars[1:][apart & begins[1:]]
-        cuts = [0, *(i for i in at.tolist() if text[i - 1].isalpha() and text[i].isalpha()), len(text)]
-        return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+        at = chars[1:][at[begins[1:][at]]]
+        letter = _letters().take(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+        return at[letter[at - 1] & letter[at]].tolist()
+
+    def _lines(self, text: str) -> list[str]:
+        """text between the certain cuts before line ends."""
+        out: list[str] = []
+        held: list[str] = []
+        for part in text.split("\n"):
+            if held and held[-1][-1:] in self._before:
+                out.append("".join(held))
+                held = ["\n" + part]
+            else:
+                held.append("\n" + part if held else part)
+        return [*out, "".join(held)]
 
     def fragments(self, text: str) -> list[str]:
         """The fragments of text between certain cuts, before line ends and inside runs of letters, whatever its length."""
-        return [part for line in self._lines(text) for part in self._letter_cuts(line)]
-
-    def _lines(self, text: str) -> list[str]:
-        return self._line_cuts.split(text) if self._line_cuts else [text]
+        cuts = self._letter_cuts(text)
+        out, start, i = [], 0, 0
+        for line in self._lines(text):
+            end = start + len(line)
+            while i < len(cuts) and cuts[i] < end:
+                out.append(text[start : cuts[i]])
+                start, i = cuts[i], i + 1
+            out.append(text[start:end])
+            start = end
+        return out
 
     def encode(self, text: str) -> array:
         """The ids of text, without special tokens; strings that look like them are ordinary text.
 
-        Lines between certain cuts that a worker has met lately have their ids already; others are cut between their letters, and
-        each fragment is encoded alone.
+        Each fragment is encoded alone; those that a worker has met lately have their ids already.
         """
         ids = array("i")
         known = self._known
-        for line in self._lines(text):
-            have = known.get(line)
+        for part in self.fragments(text):
+            have = known.get(part)
             if have is None:
-                have = array("i")
-                for part in self._letter_cuts(line):
-                    have.extend(self._bpe.encode_ordinary(part))
-                if len(line) <= WORTH:
+                have = array("i", self._bpe.encode_ordinary(part))
+                if len(part) <= WORTH:
                     if self._known_chars > REMEMBERED:
                         known.clear()
                         self._known_chars = 0
-                    known[line] = have
-                    self._known_chars += len(line)
+                    known[part] = have
+                    self._known_chars += len(part)
             ids += have
         return ids
 
