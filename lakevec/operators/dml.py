@@ -100,21 +100,7 @@ def _touched(rows: DataFrame, hit: Column) -> tuple[list[str], int]:
 def _rewrite(catalog: Catalog, table: str, files: Sequence[str], new: DataFrame) -> None:
     """Replaces files of a table by a new version of their rows; all other files stay as they are."""
     entry = catalog.get_table(table)
-    touched = set(map(_plain, files))
-    folders = {f.rsplit("/", 1)[0] for f in touched}
-    paths: list[str] = []
-    for p in entry["paths"]:
-        plain = _plain(p).rstrip("/")
-        if plain in touched:
-            continue
-        # only directories with touched files are listed
-        paths += [f for f in catalog.files.parquet_files(p) if _plain(f) not in touched] if plain in folders else [p]
-    catalog.set_paths(table, [*paths, catalog.write_rows(entry, new)])
-
-
-def _plain(path: str) -> str:
-    """A path without the ways in which one local file can be written."""
-    return path.replace("file:///", "/").replace("file:/", "/")
+    catalog.set_paths(table, [*catalog.other_files(entry["paths"], files), catalog.write_rows(entry, new)])
 
 
 def delete(catalog: Catalog, s: A.Delete) -> int:

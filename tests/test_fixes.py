@@ -69,3 +69,26 @@ def test_row_ids_of_a_segment_of_several_files(spark, tmp_path):
     assert rows(ids.select(*segments.decode_row_id("row_id")).groupBy("segment").agg(F.min("offset"), F.max("offset"))) == [(0, 0, 499), (1, 0, 499)]
     found = store.search("t", "v", [3.2, 1.0], "l2", 3, ["id", "w"]).orderBy(F.desc("score"))
     assert [(r.id, r.w) for r in found.collect()] == [(503, "wide"), (504, "wide"), (3, "wide")]
+
+
+def test_merge_writes_only_touched_files_and_computes_once(spark, tmp_path):
+    c = Engine(spark, str(tmp_path / "db 1")).catalog
+    kind = "id int, v string"
+    write = lambda rows, mode, key=None: c.write_table(spark.createDataFrame(rows, kind), "default", "default", "t", mode, key)
+    write([(1, "a"), (2, "b")], "append")
+    write([(10, "x"), (None, "n")], "append")
+    before = c.get_table("t")["paths"]
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    new = spark.createDataFrame([(2, "bb"), (3, "c"), (None, "m")], kind).coalesce(1).mapInPandas(count, kind)
+    c.write_table(new, "default", "default", "t", "merge", ["id"])
+    assert sorted(map(tuple, c.read("t").collect()), key=str) == sorted([(1, "a"), (2, "bb"), (3, "c"), (10, "x"), (None, "m"), (None, "n")], key=str)
+    assert before[1] in c.get_table("t")["paths"] and before[0] not in c.get_table("t")["paths"]
+    assert calls.value == 3
+    write([(99, "z")], "merge", ["id"])
+    assert c.read("t").count() == 7
