@@ -92,3 +92,15 @@ def test_merge_writes_only_touched_files_and_computes_once(spark, tmp_path):
     assert calls.value == 3
     write([(99, "z")], "merge", ["id"])
     assert c.read("t").count() == 7
+
+
+def test_row_group_size_reaches_the_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    e = Engine(spark, str(tmp_path / "db"))
+    e.execute("CREATE TABLE c (id BIGINT) WITH (storage = 'columnar', row_group_size = 1000, compression = 'zstd')")
+    e.catalog.append("c", spark.range(3500).coalesce(1))
+    [f] = e.catalog.files.parquet_files(e.catalog.get_table("c")["paths"][0])
+    meta = pq.ParquetFile(f.removeprefix("file:")).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000, 1000, 1000, 500]
+    assert meta.row_group(0).column(0).compression == "ZSTD"
