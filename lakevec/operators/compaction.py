@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 
 from lakevec import runtime
 
-#: Rows of the bounded sample from which the edges of the code's cells are taken, and hash parts in which they are
-#: chosen, so that no task or driver gets more than its part of each task's. Only the layout depends on it.
-EDGE_SAMPLE, EDGE_PARTS = 4096, 16
 #: Bits of a dimension in a code, so that a group has at most 2 ** (BITS * dimensions) codes.
 BITS = 6
 #: Parts into which the rows of one code are hashed, so that a code holding most rows is split.
@@ -84,28 +81,49 @@ def _plain(c: str, kind: T.DataType) -> tuple[Column, str]:
         return F.unix_micros(col).cast("double"), "number"
     if isinstance(kind, T.DateType):
         return F.unix_date(col).cast("double"), "number"
-    return col.cast("double"), "number"
+    return F.nanvl(col.cast("double"), F.lit(None)), "number"
+
+
+def _edges(values: DataFrame, bits: int) -> list[list]:
+    """For each column of values the 2 ** bits - 1 quantiles of all its present values, exactly: those at the places k * n >> bits in order.
+
+    Equal values are counted before they are sorted, all columns in one pass; the driver gets a number of values for each task and column, and the quantiles.
+    A column without a present value has none.
+    """
+    spark, names = values.sparkSession, values.columns
+    # in the runs of a column the other columns are null, and its own where it isn't present
+    of = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(names)))
+    runs = values.groupingSets([[c] for c in names], *names).agg(F.count(F.lit(1)).alias("n")).withColumn("dim", of).filter("dim IS NOT NULL")
+    runs = runtime.written(runs.repartitionByRange(runtime.width(spark), "dim", *names).withColumn("part", F.spark_partition_id()), "runs")
+    starts, total = [], [0] * len(names)
+    for r in runs.groupBy("dim", "part").agg(F.sum("n").alias("m")).orderBy("dim", "part").collect():
+        starts.append((r["dim"], r["part"], total[r["dim"]]))
+        total[r["dim"]] += r["m"]
+    if not starts:
+        return [[] for _ in names]
+    offsets = spark.createDataFrame([(*s, total[s[0]]) for s in starts], "dim int, part int, first long, total long")
+    in_part = Window.partitionBy("dim", "part").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = runs.withColumn("upto", F.sum("n").over(in_part)).join(F.broadcast(offsets), ["dim", "part"]).withColumn("upto", F.col("first") + F.col("upto"))
+    # the places below a number of values
+    below = lambda count: f"greatest(({count}) * {1 << bits} - 1, 0) div total"
+    marked = end.withColumn("times", F.expr(f"{below('upto')} - {below('upto - n')}")).filter("times > 0")
+    edges: list[list] = [[] for _ in names]
+    for r in marked.orderBy("dim", "upto").collect():
+        edges[r["dim"]] += [r[names[r["dim"]]]] * r["times"]
+    runtime.forget(runs)
+    return edges
 
 
 def with_codes(rows: DataFrame, dimensions: Sequence[str], out: str, bits: int = BITS) -> DataFrame:
     """rows with their Hilbert code in the column out.
 
-    Each dimension is cut into 2 ** bits cells at quantiles of at most EDGE_SAMPLE rows, those with the smallest
-    hashes of their dimensions in each part. A null falls into the first cell. With no rows there are no edges and every code is 0.
+    Each dimension is cut into 2 ** bits cells at the quantiles of all rows. A null or NaN falls into the first cell. With no rows there are no edges and every code is 0.
     """
     runtime.ship(rows.sparkSession)
     types = {f.name: f.dataType for f in rows.schema}
     plain = [_plain(c, types[c]) for c in dimensions]
-    named = [c.alias(f"d{i}") for i, (c, _) in enumerate(plain)]
-    hashed = rows.select(*named).withColumn("h", F.xxhash64(*(f"d{i}" for i in range(len(named)))))
-    part = Window.partitionBy(F.pmod("h", F.lit(EDGE_PARTS))).orderBy("h")
-    sample = hashed.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= EDGE_SAMPLE // EDGE_PARTS).drop("h", "r").toPandas()
-    edges = []
-    for i, (_, kind) in enumerate(plain):
-        v, there = _sortable(sample[f"d{i}"], kind)
-        v = np.sort(v[there])
-        at = (np.arange(1, 1 << bits) * len(v)) >> bits
-        edges.append(v[at] if len(v) else v)
+    found = _edges(rows.select(*(c.alias(f"d{i}") for i, (c, _) in enumerate(plain))), bits)
+    edges = [_sortable(pd.Series(e, dtype=object), kind)[0] for e, (_, kind) in zip(found, plain)]
     kinds = [k for _, k in plain]
 
     def codes(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

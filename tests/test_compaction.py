@@ -18,6 +18,34 @@ def test_the_curve_visits_neighbours(bits, n):
     assert np.abs(np.diff(cells[np.argsort(codes)], axis=0)).sum(axis=1).max() == 1
 
 
+def test_cells_are_cut_at_the_quantiles_of_all_rows(spark):
+    """20,000 skewed rows with a hot value, nulls, negative zero, NaN and infinities; a column without values; the same from one task or many."""
+    n = 20000
+    i = F.col("id")
+    number = F.when(i % 9 == 0, None).when(i % 4 == 0, 5.0).when(i % 1001 == 0, float("nan")).when(i % 1003 == 0, float("-inf")).when(i % 1007 == 0, -0.0).otherwise(F.exp((i * 7919 % n) / 1000.0))
+    text = F.when(i % 10 == 0, None).when(i % 3 == 0, "hot").otherwise(F.concat(F.when(i % 2 == 0, "é").otherwise("z"), F.hash("id").cast("string")))
+    df = spark.range(n).select("id", number.alias("x"), text.alias("s"), F.lit(None).cast("long").alias("none"))
+    kept = df.orderBy("id").toPandas()
+    for bits in (6, 3):
+        cells = []
+        for c in ("x", "s"):
+            there = kept[c].notna().to_numpy()
+            v = np.array([u.encode() for u in kept[c][there]], dtype=object) if c == "s" else kept[c][there].to_numpy(dtype=float)
+            edges = np.sort(v)[(np.arange(1, 1 << bits) * len(v)) >> bits]
+            cell = np.zeros(n, dtype=np.int64)
+            cell[there] = np.searchsorted(edges, v, side="right")
+            cells.append(cell)
+        want = C.hilbert_codes(np.stack([*cells, np.zeros(n, dtype=np.int64)], axis=1), bits)
+        for parts in (1, 7):
+            got = C.with_codes(df.repartition(parts), ["x", "s", "none"], "code", bits).orderBy("id").select("code").toPandas()["code"]
+            assert (got.to_numpy() == want).all()
+
+
+def test_edges_of_few_values(spark):
+    df = spark.createDataFrame([(3.0, None), (1.0, None), (None, None), (1.0, "b")], "a double, b string")
+    assert C._edges(df, 2) == [[1.0, 1.0, 3.0], ["b"] * 3] and C._edges(df.limit(0), 2) == [[], []]
+
+
 def rows(spark, n=2000):
     """A third of the rows under one key and store, nulls in all other columns, repeated payloads."""
     hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 97))
