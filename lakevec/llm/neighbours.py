@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakevec import runtime
@@ -24,13 +26,14 @@ PER_BUCKET, PIVOTS_PER_BUCKET, SPREAD = 1 << 14, 4, 2.5
 #: The index in a bucket: vectors for which a pivot is taken, pivots in a vector's permutation, the first of them in
 #: whose inverted files it is posted, and in how many of these it looks for neighbours.
 PER_PIVOT, LENGTH, POSTED, SEARCHED = 32, 8, 6, 3
-#: Vectors of an inverted file, nearest by footrule distance, that are scored for a vector.
-CANDIDATES = 512
+#: Vectors of an inverted file, nearest by footrule distance, that are scored for a vector, and vectors with like permutations that are
+#: scored together, each against the candidates of all of them.
+CANDIDATES, TOGETHER = 512, 16
 #: How far a score in single precision may be off, relative to 1 or the score.
 ROUGH = 1e-4
-#: Vectors handled at once in a task, cells of a block of scores, ids planned for a cell of results, and parts into which the
-#: followers of a vector are spread.
-BLOCK, SCORES, PER_CELL, SALTS = 1 << 15, 1 << 21, 1 << 17, 16
+#: Vectors handled at once in a task, cells of a block of scores, of one that stays in a core's cache, pairs scored again at once, ids
+#: planned for a cell of results, and parts into which the followers of a vector are spread.
+BLOCK, SCORES, NEAR, FEW, PER_CELL, SALTS = 1 << 15, 1 << 21, 1 << 18, 1 << 9, 1 << 17, 16
 
 
 def _codec():  # noqa: ANN202
@@ -172,9 +175,28 @@ def _wanted(n: float, buckets: int) -> int:
     return int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, n // PER_ROUTE, PIVOTS_PER_BUCKET * buckets)))
 
 
+def _xxhash64(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        x = (np.uint64(42) + p5 + np.uint64(8)) ^ (turned(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        x = turned(x, 27) * p1 + p4
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+    return x ^ (x >> np.uint64(32))
+
+
 def _below(ids: np.ndarray, rate: float) -> np.ndarray:
     """Whether the hash of an id is in the lowest part of so much."""
-    return np.ones(len(ids), dtype=bool) if rate >= 1 else _mixed(ids) < np.uint64(rate * 2.0**64)
+    return np.ones(len(ids), dtype=bool) if rate >= 1 else _xxhash64(ids) >> np.uint64(1) < np.uint64(rate * 2.0**63)
+
+
+def _has_below(name: str, rate: float) -> Column:
+    """Whether a row of vector_rows is of a table and has an id that is _below."""
+    low = lambda k: F.shiftrightunsigned(F.xxhash64(k.cast("long")), 1) < F.lit(int(rate * 2.0**63))
+    mine = F.col("table_name") == name
+    return mine if rate >= 1 else mine & F.exists("keys", low)
 
 
 def sizes(rows: DataFrame, known: list[V.Collection]) -> dict[int, int]:
@@ -196,13 +218,18 @@ def choose_pivots(rows: DataFrame, known: list[V.Collection], n: dict[int, int])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), tab), pa.int32()), pa.array(ids[on]), pa.array(packed, pa.binary())], names=["tab", "id", "vec"])
 
     got: dict[int, dict[bytes, None]] = {}
-    for r in sorted(rows.mapInArrow(sample, "tab int, id long, vec binary").collect(), key=lambda r: (r["tab"], r["id"])):
+    # rows without such an id needn't go to Python
+    some = reduce(or_, (_has_below(known[t].name, r) for t, r in rate.items()), F.lit(False))
+    for r in sorted(rows.filter(some).mapInArrow(sample, "tab int, id long, vec binary").collect(), key=lambda r: (r["tab"], r["id"])):
         got.setdefault(r["tab"], {})[bytes(r["vec"])] = None
     return {tab: _pivots(_points(V.unpack(list(packed), known[tab].dimension), known[tab].metric), first[tab]) for tab, packed in got.items()}
 
 
 def _points(m: np.ndarray, metric: str) -> np.ndarray:
-    return V.comparable(m, metric).astype(np.float32)
+    out = np.empty(m.shape, dtype=np.float32)
+    for at in range(0, len(m), FEW):
+        out[at : at + FEW] = V.comparable(m[at : at + FEW], metric)
+    return out
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, metric: str, length: int) -> np.ndarray:
@@ -210,24 +237,21 @@ def permutations(x: np.ndarray, pivots: np.ndarray, metric: str, length: int) ->
     k = min(length, len(pivots))
     out = np.empty((len(x), k), dtype=np.uint16)
     half = 0.5 * (pivots * pivots).sum(axis=1)[None, :] if metric == "l2" else None
-    step = max(1, SCORES // len(pivots))
+    step = max(1, NEAR // len(pivots))
     for at in range(0, len(x), step):
-        far = x[at : at + step] @ pivots.T
+        near = x[at : at + step] @ pivots.T
         if half is not None:
-            far -= half
-        np.negative(far, out=far)
-        if k < len(pivots):
-            # whole lines of values are partitioned faster than places; ties at the end are told apart below
-            near = far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]
-            tied = np.flatnonzero(near.sum(axis=1) > k)
-            near[tied] = False
-            for i in tied.tolist():
-                near[i, np.argsort(far[i], kind="stable")[:k]] = True
-            best = np.nonzero(near)[1].reshape(-1, k)
-        else:
-            best = np.tile(np.arange(k), (len(far), 1))
-        order = np.argsort(np.take_along_axis(far, best, axis=1), axis=1, kind="stable")
-        out[at : at + step] = np.take_along_axis(best, order, axis=1)
+            near -= half
+        # the greatest is taken k times: for few of many that is faster than a partition, and the first of equal ones comes first
+        rows, odd = np.arange(len(near)), np.zeros(len(near), dtype=bool)
+        for j in range(k):
+            best = near.argmax(axis=1)
+            out[at : at + step, j] = best
+            odd |= ~np.isfinite(near[rows, best])
+            near[rows, best] = -np.inf
+        for i in np.flatnonzero(odd).tolist():  # sums that are too large for single precision
+            far = -(x[at + i] @ pivots.T) if half is None else half[0] - x[at + i] @ pivots.T
+            out[at + i] = np.argsort(far, kind="stable")[:k]
     return out
 
 
@@ -260,11 +284,12 @@ def _batch(tab: int, bucket: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
 _POSTED = "tab int, bucket long, block binary"
 
 
-def _post(rows: DataFrame, known: list[V.Collection], shared) -> DataFrame:  # noqa: ANN001
+def _post(rows: DataFrame, known: list[V.Collection], shared, cells: int) -> DataFrame:  # noqa: ANN001
     """Posts every vector to the buckets of its nearest routing pivots: tab, bucket, block of (ids, whether others follow, vectors).
 
     Of equal vectors in a block of a task only the top_k + 1 with the smallest ids are posted: they are all that can be
-    among the nearest of anything. The others follow the smallest of them (see _followers) and get its result in the end.
+    among the nearest of anything. The others follow the smallest of them and get its result in the end: blocks of
+    (leaders, ids) in one of so many cells, as buckets from -1 down (see _followers).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +298,9 @@ def _post(rows: DataFrame, known: list[V.Collection], shared) -> DataFrame:  # n
                 continue
             c, p = known[tab], shared.value[tab]
             # ids are sorted: of equal vectors the first rows have the smallest
-            keep, _, lead_row = _copies(m, c.top_k + 1)
+            keep, follow, lead_row = _copies(m, c.top_k + 1)
+            if len(follow):
+                yield _batch(tab, -1 - int(_mixed(ids[follow[:1]])[0] % np.uint64(cells)), [ids[lead_row], ids[follow]])
             followed = np.zeros(len(ids), dtype=bool)
             followed[lead_row] = True
             ids, m, followed = ids[keep], m[keep], followed[keep]
@@ -284,25 +311,27 @@ def _post(rows: DataFrame, known: list[V.Collection], shared) -> DataFrame:  # n
     return rows.mapInArrow(run, _POSTED)
 
 
-def _followers(rows: DataFrame, known: list[V.Collection]) -> DataFrame:
+def _followers(blocks: DataFrame) -> DataFrame:
     """The vectors that _post leaves to a smaller equal one of their block: tab, leader, id, spread over SALTS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tab, ids, m in _valid(batches, known):
-            _, follow, lead_row = _copies(m, known[tab].top_k + 1)
-            salt = (_mixed(ids[follow]) % np.uint64(SALTS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(follow), tab), pa.int32()), pa.array(ids[lead_row]), pa.array(ids[follow]), pa.array(salt)], names=["tab", "leader", "id", "salt"])
+        for batch in batches:
+            for tab, block in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                leader, ids = from_block(block)
+                salt = (_mixed(ids) % np.uint64(SALTS)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), tab), pa.int32()), pa.array(leader), pa.array(ids), pa.array(salt)], names=["tab", "leader", "id", "salt"])
 
-    return rows.mapInArrow(run, "tab int, leader long, id long, salt int")
+    return blocks.select("tab", "block").mapInArrow(run, "tab int, leader long, id long, salt int")
 
 
 def _split(posted: DataFrame, known: list[V.Collection], within: dict[int, tuple[float, int]]) -> DataFrame:
     """The next level of routing: every bucket gets pivots from its own vectors, which are posted to its parts.
 
     within: for each table the vectors that a bucket has, about, and the number of its parts. A bucket's blocks are spread over as
-    many tasks as they need, each of which gets the bucket's pivots.
+    many tasks as they need, each of which gets the bucket's pivots. Followers stay as they are.
     """
-    posted = runtime.written(posted, "posted")
+    whole = runtime.written(posted, "posted")
+    posted, followers = whole.filter("bucket >= 0"), whole.filter("bucket < 0")
     rate = {t: (_wanted(n, k) if k > 1 else 1) / max(n, 1) for t, (n, k) in within.items()}
     parts = {t: max(1, math.ceil(n / (4 * BLOCK))) for t, (n, _) in within.items()}
 
@@ -340,7 +369,7 @@ def _split(posted: DataFrame, known: list[V.Collection], within: dict[int, tuple
         return pa.Table.from_batches(out, schema=pa.schema([("tab", pa.int32()), ("bucket", pa.int64()), ("block", pa.binary())]))
 
     by = ["tab", "bucket", "salt"]
-    return salted.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInArrow(route, _POSTED)
+    return salted.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInArrow(route, _POSTED).unionByName(followers)
 
 
 def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -358,49 +387,84 @@ def footrule(perm: np.ndarray, rows: np.ndarray) -> np.ndarray:
     for j in range(length):
         weight[inverse[:, j], np.arange(len(perm))] = length - j
     mine = inverse[rows]
-    out = np.minimum(weight[mine[:, 0]], np.uint8(length))
-    for j in range(1, length):
-        line = weight[mine[:, j]]
-        out += np.minimum(line, np.uint8(length - j), out=line)
+    out = np.empty((len(rows), len(perm)), dtype=np.uint8)
+    step = max(1, NEAR // len(perm))
+    for at in range(0, len(rows), step):
+        part = out[at : at + step]
+        np.minimum(weight[mine[at : at + step, 0]], np.uint8(length), out=part)
+        for j in range(1, length):
+            line = weight[mine[at : at + step, j]]
+            part += np.minimum(line, np.uint8(length - j), out=line)
     return out
 
 
-def _best_in_file(x: np.ndarray, perm: np.ndarray, q: np.ndarray, metric: str, top_k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For the rows q of an inverted file their best others in it: rows, others, scores in single precision.
+def _nearest(near: np.ndarray, most: int) -> np.ndarray:
+    """Which are the most greatest of each row, exactly so many; of equal ones the first."""
+    size = near.shape[1]
+    # the partition of numbers of two bytes is faster than of one
+    top = np.partition(near.astype(np.uint16), size - most, axis=1)[:, size - most :]
+    room = (top == top[:, :1]).sum(axis=1)
+    last = top[:, :1].astype(near.dtype)
+    tied = np.flatnonzero(near == last)
+    row = tied // size
+    out = near > last
+    out.ravel()[tied[_place(row) < room[row]]] = True
+    return out
+
 
-    The vectors of the file are ranked by footrule distance first, and only the CANDIDATES nearest are scored. Of a file that has no more
-    than these all are candidates, whatever their rank.
+def _candidates(perm: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Rows of q that are handled at once, and the candidates that are scored for them (None: the whole file).
+
+    The vectors of the file are ranked by footrule distance before any score; the CANDIDATES nearest of a row are its candidates. Rows with
+    like permutations are handled TOGETHER, with the candidates of all of them, since a block of scores costs less than gathering the
+    candidates of each row. Of a file that has no more than CANDIDATES all are candidates, whatever their rank.
     """
-    size = len(x)
-    ranked = size > CANDIDATES
+    size = len(perm)
+    if size <= CANDIDATES:
+        step = max(1, SCORES // size)
+        for at in range(0, len(q), step):
+            yield q[at : at + step], None
+        return
+    q = q[np.lexsort(perm[q, :SEARCHED].T[::-1])]
+    step, part = (TOGETHER * max(1, cells // (size * TOGETHER)) for cells in (SCORES, NEAR))
+    for at in range(0, len(q), step):
+        near = footrule(perm, q[at : at + step])
+        for low in range(0, len(near), part):
+            chosen = _nearest(near[low : low + part], CANDIDATES)
+            for g in range(0, len(chosen), TOGETHER):
+                cand = np.flatnonzero(chosen[g : g + TOGETHER].any(axis=0))
+                first = at + low + g
+                yield q[first : first + len(chosen[g : g + TOGETHER])], cand if len(cand) < size else None
+
+
+def _best_in_file(x: np.ndarray, perm: np.ndarray, q: np.ndarray, metric: str, top_k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the rows q of an inverted file their best others among the candidates in it: rows, others, scores in single precision."""
     # the last of top_k, all kept copies of it, and what single precision can't tell from it
     spare = 2 * top_k + 2
     square = (x * x).sum(axis=1) if metric == "l2" else None
-    step = max(1, SCORES // (CANDIDATES * x.shape[1] if ranked else size))
-    for at in range(0, len(q), step):
-        rows = q[at : at + step]
-        if ranked:
-            cand = np.argpartition(footrule(perm, rows), size - CANDIDATES, axis=1)[:, size - CANDIDATES :]
-            s = np.matmul(x[cand], x[rows][:, :, None])[:, :, 0]
-            if square is not None:
-                s = -np.sqrt(np.maximum(square[rows][:, None] + square[cand] - 2 * s, 0))
-            s[cand == rows[:, None]] = -np.inf
-        else:
-            s = x[rows] @ x.T
-            if square is not None:
-                s = -np.sqrt(np.maximum(square[rows][:, None] + square[None, :] - 2 * s, 0))
+    for rows, cand in _candidates(perm, q):
+        s = x[rows] @ (x if cand is None else x[cand]).T
+        if square is not None:
+            s *= -2
+            s += square[rows][:, None]
+            s += (square if cand is None else square[cand])[None, :]
+            np.negative(np.sqrt(np.maximum(s, 0, out=s), out=s), out=s)
+        if cand is None:
             s[np.arange(len(rows)), rows] = -np.inf
+        else:
+            own = np.minimum(np.searchsorted(cand, rows), len(cand) - 1)
+            there = np.flatnonzero(cand[own] == rows)
+            s[there, own[there]] = -np.inf
         good = s >= least
-        count = good.sum(axis=1)
-        few, many = count <= spare, np.flatnonzero(count > spare)
-        good[many] = False
-        i, j = np.nonzero(good) if few.any() else (many[:0], many[:0])
+        many = np.flatnonzero(good.sum(axis=1) > spare)
         if len(many):
             value = s[many]
             last = np.partition(value, s.shape[1] - top_k, axis=1)[:, s.shape[1] - top_k] if top_k else np.full(len(many), np.inf)
-            i2, j2 = np.nonzero(value >= (last - ROUGH * np.maximum(1, np.abs(last)))[:, None])
-            i, j = np.concatenate([i, many[i2]]), np.concatenate([j, j2])
-        yield rows[i], cand[i, j] if ranked else j, s[i, j]
+            good[many] = value >= (last - ROUGH * np.maximum(1, np.abs(last)))[:, None]
+        hit = np.flatnonzero(good)
+        i = hit // s.shape[1]
+        j = hit - i * s.shape[1]
+        yield rows[i], j if cand is None else cand[j], s.ravel()[hit]
 
 
 def search_bucket(ids: np.ndarray, m: np.ndarray, c: V.Collection) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -431,21 +495,29 @@ def search_bucket(ids: np.ndarray, m: np.ndarray, c: V.Collection) -> tuple[np.n
     a, b, rough = (np.concatenate(z) for z in zip(*found))
     pairs, first = np.unique(a * n + b, return_index=True)
     a, b, rough = pairs // n, pairs % n, rough[first]
-    order = np.lexsort((-rough, a))
-    a, b = a[order], b[order]
-    rough, place = rough[order], _place(a)
     # the score at the last of top_k of each, or the lowest it has
     last = np.full(n, -np.inf)
-    last[a[place == c.top_k - 1]] = rough[place == c.top_k - 1]
+    at_last = _place(a) == c.top_k - 1
+    last[a[at_last]] = _descending(a, rough)[at_last]
     top = rough >= (last - ROUGH * np.maximum(1, np.abs(last, where=np.isfinite(last), out=np.ones(n))))[a]
     a, b = a[top], b[top]
     score = np.empty(len(a))
-    for at in range(0, len(a), 1 << 15):
-        part = slice(at, at + (1 << 15))
+    for at in range(0, len(a), FEW):
+        part = slice(at, at + FEW)
         score[part] = V.exact_scores(m[a[part]], m[b[part]][:, None, :], c.metric)[:, 0]
     return best_of(a, b, ids[b], score, c)
 
 
+def _descending(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The numbers x, in single precision, from the greatest to the least within each of the sorted groups a, by one sort of whole numbers."""
+    bits = x.astype(np.float32).view(np.uint32)
+    sign = np.uint32(1 << 31)
+    key = (a.astype(np.uint64) << np.uint64(32)) | np.where(bits & sign, bits, ~(bits | sign))
+    key.sort()
+    low = key.astype(np.uint32)
+    return np.where(low & sign, low, ~low & ~sign).view(np.float32)
+
+
 def _place(sorted_keys: np.ndarray) -> np.ndarray:
     """The place of each element among the equal ones before it."""
     if not len(sorted_keys):
@@ -490,7 +562,7 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(choose_pivots(rows, known, n))
     cells = max(runtime.width(spark), -(-max(n.values(), default=0) // PER_CELL))
     plans = {t: levels(k) for t, k in n.items()}
-    posted, inside = _post(rows, known, shared), {t: k * SPREAD / plans[t][0] for t, k in n.items()}
+    posted, inside = _post(rows, known, shared, cells), {t: k * SPREAD / plans[t][0] for t, k in n.items()}
     for level in range(1, max(map(len, plans.values()), default=1)):
         # a table with fewer levels keeps its buckets: they are cut into one part
         within = {t: (inside[t], p[level] if level < len(p) else 1) for t, p in plans.items()}
@@ -498,7 +570,9 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
         inside = {t: k * (SPREAD if level < len(plans[t]) else 1) / within[t][1] for t, k in inside.items()}
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        tab = key[0].as_py()
+        tab, bucket = key[0].as_py(), key[1].as_py()
+        if bucket < 0:  # followers pass, in cells from -2 down
+            return pa.table({"tab": table.column("tab"), "cell": pa.array([bucket - 1] * table.num_rows, pa.int32()), "block": table.column("block")})
         c = known[tab]
         parts = [from_block(b) for b in table.column("block").to_pylist()]
         ids, first, again = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
@@ -529,8 +603,11 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
         return pa.table({"tab": pa.array([tab] * len(blocks), pa.int32()), "cell": pa.array(out_cells, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        """The best of all buckets, as pairs by cell; and for vectors that others follow (cell -1) who the nearest ones are, itself included."""
+        """The best of all buckets, as pairs by cell; and for vectors that others follow (cell -1) who the nearest ones are, itself included. Followers pass."""
         tab = key[0].as_py()
+        if key[1].as_py() < 0:
+            rest = [pa.nulls(table.num_rows, kind) for kind in (pa.int64(), pa.list_(pa.int64()))]
+            return pa.table([*(table.column(x) for x in ("tab", "cell", "block")), *rest], names=["tab", "cell", "block", "leader", "nearest"])
         c = known[tab]
         parts = [from_block(x) for x in table.column("block").to_pylist()]
         a, b, score, lead, followed, own, follower, leader, same = (np.concatenate([x[i] for x in parts]) for i in range(9))
@@ -575,7 +652,7 @@ def nearest_pairs(rows: DataFrame, collections: DataFrame) -> DataFrame:
     leaders = merged.filter("cell = -1").select("tab", "leader", "nearest", salts)
     most = F.element_at(F.array(*(F.lit(c.top_k) for c in known)), F.col("tab") + 1) if known else F.lit(0)
     others = F.slice(F.filter("nearest", lambda v: v != F.col("id")), F.lit(1), most)
-    copies = _followers(rows, known).join(leaders, ["tab", "leader", "salt"]).select("tab", "id", F.explode(others).alias("other"))
+    copies = _followers(merged.filter("cell < -1")).join(leaders, ["tab", "leader", "salt"]).select("tab", "id", F.explode(others).alias("other"))
     pairs = merged.filter("cell >= 0").select("tab", "cell", "block").unionByName(copies.mapInArrow(pack, shape))
     return pairs.groupBy("tab", "cell").applyInArrow(once, "tab int, id_a long, id_b long")
 

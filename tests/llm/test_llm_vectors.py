@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -361,3 +363,95 @@ def test_a_hot_vector_is_not_gathered(spark, monkeypatch):
     for v in same:
         for b in [u for u in same if u != v][:4]:
             assert (min(v, b), max(v, b)) in found
+
+
+@pytest.mark.parametrize("metric", ["cosine", "inner", "l2"])
+def test_nearest_pivots_with_ties_and_sums_beyond_single_precision(metric):
+    """Equal pivots in order of their places; products of large elements are infinite or undefined."""
+    r = np.random.default_rng(4)
+    x = r.integers(-2, 3, size=(300, 6)).astype(np.float32)
+    pivots = np.concatenate([x[:40], x[:10], np.zeros((2, 6), dtype=np.float32)])
+    far = -(x @ pivots.T) + (0.5 * (pivots * pivots).sum(axis=1) if metric == "l2" else 0)
+    for k in (1, 3, 8, 60):
+        assert (neighbours.permutations(x, pivots, metric, k) == np.argsort(far, axis=1, kind="stable")[:, :k]).all()
+    x[7], x[8], pivots[3], pivots[4] = 3e30, np.float32([3e30, -3e30] * 3), 2e30, np.float32([2e30, -2e30] * 3)
+    with np.errstate(over="ignore", invalid="ignore"):
+        odd = neighbours.permutations(x, pivots, metric, 8)
+    assert all(len(set(p)) == 8 and max(p) < len(pivots) for p in odd.tolist())
+
+
+def test_the_nearest_by_footrule_are_scored_in_blocks():
+    """Each row gets all of its CANDIDATES nearest, a bounded number together, and no copy of them for each row."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 96)).astype(np.float32)
+    perm = neighbours.permutations(x, x[:60], "l2", 8)
+    q = np.arange(0, 3000, 3)
+    near = dict(zip(q.tolist(), neighbours.footrule(perm, q)))
+    seen = []
+    for rows, cand in neighbours._candidates(perm, q):
+        seen += rows.tolist()
+        cand = np.arange(len(x)) if cand is None else cand
+        assert len(rows) <= neighbours.TOGETHER and len(cand) <= neighbours.TOGETHER * neighbours.CANDIDATES
+        for i in rows.tolist():
+            surely = np.flatnonzero(near[i] > np.sort(near[i])[-neighbours.CANDIDATES])
+            assert np.isin(surely, cand).all()
+    assert sorted(seen) == q.tolist()
+    exactly = neighbours._nearest(np.stack(list(near.values())), neighbours.CANDIDATES)
+    assert (exactly.sum(axis=1) == neighbours.CANDIDATES).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_ranked_files_do_not_copy_their_candidates_for_each_row(metric):
+    r = np.random.default_rng(7)
+    x = V.comparable(r.normal(size=(1500, 96)), "cosine").astype(np.float32)
+    perm, q = neighbours.permutations(x, x[:50], metric, 8), np.arange(1500)
+    tracemalloc.start()
+    found = 0
+    for a, b, s in neighbours._best_in_file(x, perm, q, metric, 5, -2.0):
+        assert (a != b).all() and np.isfinite(s).all()
+        found += len(a)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # before, 42 rows had 512 vectors of 96 numbers each, 8 MB
+    assert found >= 5 * len(q) and peak < 8e6
+
+
+def test_the_hash_of_pivots_is_sparks(spark):
+    """So rows without a pivot are left out before they go to Python."""
+    ids = np.array([0, 1, -1, 42, 2**63 - 1, -(2**63), *np.random.default_rng(1).integers(-(2**62), 2**62, 500)])
+    df = spark.createDataFrame([("t", [int(i), None]) for i in ids], "table_name string, keys array<long>")
+    want = [r.h for r in df.selectExpr("xxhash64(keys[0]) AS h").collect()]
+    assert neighbours._xxhash64(ids).view(np.int64).tolist() == want
+    for rate in (0.0, 0.3, 0.999, 1.0):
+        alone = df.selectExpr("table_name", "array(keys[0]) AS keys")
+        assert [r.low for r in alone.select(neighbours._has_below("t", rate).alias("low")).collect()] == neighbours._below(ids, rate).tolist()
+    assert not alone.select(neighbours._has_below("u", 1.0).alias("low")).filter("low").count()
+
+
+def test_followers_pass_two_levels_and_vectors_are_not_read_for_them(spark, monkeypatch, tmp_path):
+    """Copies in several tasks and levels; what is left to do after posting reads no vectors."""
+    monkeypatch.setattr(neighbours, "PER_BUCKET", 600)
+    monkeypatch.setattr(neighbours, "MOST_PIVOTS", 32)
+    keys, m = clouds(4000)
+    m[::3] = m[0]
+    assert len(neighbours.levels(len(m))) >= 2
+    segs, _ = tables(spark, keys, m, np.zeros(len(m), dtype=bool))
+    segs.write.parquet(str(tmp_path / "segs"))
+    segs = spark.read.parquet(str(tmp_path / "segs"))
+    cols = spark.createDataFrame([("t", "v", 16, "cosine", 4, 0.7)], COLLECTION)
+    result = neighbours.nearest_pairs(neighbours.vector_rows(segs, None, None), cols)
+    assert result.inputFiles() and not any(str(tmp_path) in f for f in result.inputFiles())
+    pairs = result.collect()
+    found = {(r.id_a, r.id_b) for r in pairs}
+    assert len(found) == len(pairs) and recall(keys, m, found, "cosine", 4, 0.7) >= 0.9
+    same = sorted(int(v) for v in keys[(m == m[0]).all(axis=1)])
+    for v in same:
+        for b in [u for u in same if u != v][:4]:
+            assert (min(v, b), max(v, b)) in found
+
+
+def test_descending_in_groups():
+    r = np.random.default_rng(3)
+    a, x = np.sort(r.integers(0, 50, 3000)), r.normal(size=3000).astype(np.float32)
+    x[:6] = [0, -0.0, np.inf, -np.inf, 1e-40, -1e-40]
+    assert (neighbours._descending(a, x) == x[np.lexsort((-x, a))]).all()
